@@ -32,3 +32,39 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = pack(read(spark, sf_dir, "documents"), bpe_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_SAID = "</s>[INST] ok [/INST]"
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.chat import format_chats, read_back
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", _SAID), (-7, 1, "assistant", _SAID)], turns.schema)
+    return read_back(format_chats(turns.unionByName(own))).drop("valid")
+
+
+def _chat_sql() -> str:
+    from factloom.llm.chat import Template
+
+    t = Template()
+    escaped = lambda x: f"(length({x}) + length({x}) - length(replace({x}, chr(92), '')) + " + " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in t.controls) + ")"
+    around = " ".join(f"WHEN '{r}' THEN {len(k.prefix + k.suffix)}" for r, k in t.roles.items())
+    trained = ", ".join(f"'{r}'" for r, k in t.roles.items() if k.loss)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role IN ({trained})), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {order}) FILTER (role IN ({trained})), '')) AS loss_sha256,
+  CAST({len(t.begin)} + sum({escaped("text")} + CASE role {around} ELSE {len("".join(t.other))} + {escaped("role")} END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+ORACLES["op7_chat_format"] = _chat_sql()
