@@ -68,3 +68,13 @@ FROM turns GROUP BY conv_id"""
 
 
 ORACLES["op7_chat_format"] = _chat_sql()
+
+
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.urls import judge
+
+    return judge(read(spark, sf_dir, "pages"), RULES)
