@@ -78,3 +78,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.urls import judge
 
     return judge(read(spark, sf_dir, "pages"), RULES)
+
+
+@query
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.media import media_features
+
+    return media_features(read(spark, sf_dir, "documents"))
