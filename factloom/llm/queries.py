@@ -85,3 +85,29 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.media import media_features
 
     return media_features(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.decontam import find_items
+
+    return find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+ORACLES["op8_decontamination"] = rf"""
+WITH item_words AS (SELECT item_id, row_number() OVER () AS item_row, {_WORDS} AS w FROM benchmark),
+item_shingles AS (
+  SELECT DISTINCT item_row, item_id, least(len(w), 5) AS n, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT item_row, count(*) AS size FROM item_shingles GROUP BY item_row),
+doc_words AS (SELECT doc_id, row_number() OVER () AS doc_row, {_WORDS} AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM item_shingles),
+doc_shingles AS (
+  SELECT DISTINCT doc_row, doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, lengths WHERE len(w) >= n)),
+shared AS (
+  SELECT doc_row, any_value(doc_id) AS doc_id, item_row, any_value(item_id) AS item_id, count(*) AS shared
+  FROM doc_shingles JOIN item_shingles USING (n, s) GROUP BY doc_row, item_row)
+SELECT doc_id, item_id, CAST(size AS BIGINT) AS item_shingles, CAST(shared AS BIGINT) AS shared, shared / size AS containment
+FROM shared JOIN sizes USING (item_row) WHERE shared >= ceil(round(0.8 * size, 9))"""
