@@ -111,3 +111,10 @@ shared AS (
   FROM doc_shingles JOIN item_shingles USING (n, s) GROUP BY doc_row, item_row)
 SELECT doc_id, item_id, CAST(size AS BIGINT) AS item_shingles, CAST(shared AS BIGINT) AS shared, shared / size AS containment
 FROM shared JOIN sizes USING (item_row) WHERE shared >= ceil(round(0.8 * size, 9))"""
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.quality import resample
+
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
