@@ -118,3 +118,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.quality import resample
 
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.langid import fit, predict
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.expr("coalesce(crc32(cast(doc_id AS string)) % 3 = 1, false)")
+    model = fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
