@@ -128,3 +128,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.expr("coalesce(crc32(cast(doc_id AS string)) % 3 = 1, false)")
     model = fit(docs.where(~held_out).select("doc_id", "text", "lang"))
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from factloom.llm.lmscore import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.expr("coalesce(crc32(cast(doc_id AS string)) % 7 = 2, false)")
+    return score(docs, fit(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model")), held_out)
