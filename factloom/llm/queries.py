@@ -139,3 +139,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.expr("coalesce(crc32(cast(doc_id AS string)) % 7 = 2, false)")
     return score(docs, fit(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model")), held_out)
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.licenses import scan
+
+    return scan(read(spark, sf_dir, "documents"))
