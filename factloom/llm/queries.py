@@ -146,3 +146,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.licenses import scan
 
     return scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.setjoin import components_of
+
+    return components_of(read(spark, sf_dir, "documents"))
