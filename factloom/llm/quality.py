@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.llm import scratch
 from factloom.llm import textops as X
@@ -97,13 +98,13 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> np.nda
     return np.log(p[1]) - np.log(p[0])
 
 
-def _score(ratio: np.ndarray) -> Callable:
+def _score(ratio: np.ndarray, weight: str = "log_weight", tokens: str = "n_tokens") -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in X.blocks(batch, "text"):
                 bucket, row, n = ngram_buckets(block.column("text"))
-                weight = np.bincount(row, ratio[bucket], block.num_rows).astype(float)
-                yield pa.RecordBatch.from_arrays([*block.columns, pa.array(weight), pa.array(n)], [*block.schema.names, "log_weight", "n_tokens"])
+                sums = np.bincount(row, ratio[bucket], block.num_rows).astype(float)
+                yield pa.RecordBatch.from_arrays([*block.columns, pa.array(sums), pa.array(n)], [*block.schema.names, weight, tokens])
 
     return run
 
@@ -128,9 +129,9 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024, small:
     return low
 
 
-def _key(seed: int) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "n_tokens", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return F.col("log_weight") - F.log(-F.log(u))
+def _key(seed: int, weight: str = "log_weight", tokens: str = "n_tokens") -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), tokens, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return F.col(weight) - F.log(-F.log(u))
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 7, target_rows: int = 20_000, tail: float = 0.0005) -> DataFrame:
@@ -161,8 +162,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, k: int | float | None = None,
     scored = _text(docs).mapInArrow(lambda x: (b.drop_columns(["text"]) for b in _score(ratio)(x)), "doc_id long, log_weight double, n_tokens long")
     scored = scratch.table(scored.withColumn("gumbel_key", _key(seed)), "weights")
     bar = _bar(scored, labels, k, tail)
-    names = docs.columns
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    schema = f"doc_id long, text string, row {packed.schema['row'].dataType.simpleString()}, log_weight double, n_tokens long"
-    kept = packed.mapInArrow(_score(ratio), schema).withColumn("gumbel_key", _key(seed))
-    return kept.where((F.col("n_tokens") > 0) & (F.col("gumbel_key") >= F.lit(bar))).select(*[F.col("row")[c].alias(c) for c in names])
+    weight, tokens = (next(n for n in (base + "_" * i for i in range(1, 99)) if n not in docs.columns) for base in ("log_weight", "n_tokens"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(weight, T.DoubleType()), T.StructField(tokens, T.LongType())])
+    kept = docs.mapInArrow(_score(ratio, weight, tokens), schema)
+    return kept.where((F.col(tokens) > 0) & (_key(seed, weight, tokens) >= F.lit(bar))).select(*[F.col(f"`{c}`") for c in docs.columns])
