@@ -468,3 +468,24 @@ _HTML = r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_
 @query(_HTML)
 def source_html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+_GRAMMAR = r"""
+#define ENDS .*tion
+#GRAMMAR_ROOT S
+Prep -> 'of' | 'in' | 'de';
+Noun -> Word<wff=/${ENDS}/>;
+S -> Prep ('the') Noun | Noun<fw> 'and' Word<~l-reg>;
+"""
+
+
+@query(
+    rf"""WITH {TOKS} SELECT doc_id, sent_id, pos AS f, pos + 2 AS t FROM tokens WHERE low IN ('of', 'in', 'de') AND regexp_matches(w[pos + 2], '^(?:.*tion)$') AND regexp_matches(w[pos + 2], '^[\p{{L}}]+$')
+    UNION SELECT doc_id, sent_id, pos, pos + 3 FROM tokens WHERE low IN ('of', 'in', 'de') AND lower(w[pos + 2]) = 'the' AND regexp_matches(w[pos + 3], '^(?:.*tion)$') AND regexp_matches(w[pos + 3], '^[\p{{L}}]+$')
+    UNION SELECT doc_id, sent_id, pos, pos + 3 FROM tokens WHERE pos = 0 AND regexp_matches(tok, '^(?:.*tion)$') AND regexp_matches(tok, '^[\p{{L}}]+$') AND lower(w[2]) = 'and' AND regexp_matches(w[3], '^[\p{{Lu}}]') AND regexp_matches(w[3], '^[\p{{L}}]+$')"""
+)
+def grammar_text(spark, sf_dir):
+    """A grammar in its language, compiled to a plan."""
+    from factloom.plans import grammar as PG
+
+    return PG.apply(charts(spark, sf_dir), PG.parse(_GRAMMAR)).select("doc_id", "sent_id", F.inline("spans"))
