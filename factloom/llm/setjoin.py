@@ -11,8 +11,8 @@ the other. A set with too few non-empty segments publishes all of them and their
 neighbourhoods; if twice their number is too small as well, a common key of such sets.
 
 Buckets of equal subsets: small ones give all pairs of their sets; large ones (groups of near copies) give
-pairs with one pivot, and only what links leave apart is looked at again, with other pivots, at last
-in full. Pairs pass a bound on the difference (counts of 128 classes of shingles) and are then verified exactly on whole texts. Equal sets
+pairs with one pivot, and only what links leave apart is looked at again, with another pivot, at last
+in full, block by block. Pairs pass a bound on the difference (counts of 128 classes of shingles) and are then verified exactly on whole texts. Equal sets
 are one node from the start. Links are joined to components by star contraction.
 
 The hot list (``hot_keys`` most frequent subsets) and the filter of needed texts are of bounded size and
@@ -40,6 +40,7 @@ U = X.U
 SMALL = 32  # sets in a bucket that gives all its pairs; subsets that more sets have are hot
 CLASSES = 128
 _SALTS = 16
+_ROWS_IN_BLOCK = 4096
 _SCHEME, _SEGMENT, _NODE = (X.mix(np.array([11, 12, 13], U)) | U(1))
 _SEEN = 1 << 20
 
@@ -107,13 +108,29 @@ def _nodes(n: int) -> Callable:
     return run
 
 
-def _publish(n: int, percent: int, hot: np.ndarray) -> Callable:
+def bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bit for each distinct value of the first column, by its low bits; 2 MB at most."""
+    col = nodes.columns[0]
+    size = 1 << min(24, max(12, (16 * nodes.count()).bit_length()))
+    bits = np.zeros(size // 64, np.int64)
+    words = nodes.groupBy(F.shiftright(F.col(col).bitwiseAND(F.lit(size - 1)), 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({col} & 63 AS int))")))
+    for w, x in words.collect():
+        bits[w] = x
+    return bits.view(U)
+
+
+def _bit(bits: np.ndarray, node: int) -> int:
+    at = node & (len(bits) * 64 - 1)
+    return int(bits[at >> 6]) >> (at & 63) & 1
+
+
+def _publish(n: int, percent: int, hot: np.ndarray, skip: np.ndarray | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _sets(n)(batches):
             keys, nodes, sizes = [], [], []
             for s in sets:
-                if len(s) and (node := node_id(s)) not in seen:
+                if len(s) and (node := node_id(s)) not in seen and not (skip is not None and _bit(skip, node)):
                     seen.add(node)
                     found = signatures(s, percent, hot)
                     keys += found
@@ -145,14 +162,12 @@ def _similar_bound(percent: int) -> Callable:
 def _texts(n: int, bits: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        mask = len(bits) * 64 - 1
         for block, sets in _sets(n)(batches):
             keep, nodes = [], []
             for i, s in enumerate(sets):
                 if len(s):
                     node = node_id(s)
-                    at = node & mask
-                    if int(bits[at >> 6]) >> (at & 63) & 1 and node not in seen:
+                    if _bit(bits, node) and node not in seen:
                         seen.add(node)
                         keep.append(i)
                         nodes.append(node)
@@ -186,6 +201,46 @@ def _verify(n: int, percent: int) -> Callable:
     return run
 
 
+def _apart(percent: int) -> Callable:
+    """Pairs of one key's rows that have different labels and that no cheap bound excludes. Rows come
+    sorted by (sig, low, high); a key has two blocks of rows at most, and pairs are taken within the
+    one block or between the two."""
+
+    def pairs(rows: list[tuple], seen: set) -> list[tuple[int, int]]:
+        node, label, n = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
+        block = np.array([r[3] for r in rows])
+        counts = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+        both, out = rows[0][1] != rows[0][2], []
+        for i in range(0, len(rows), 16):
+            most = (n[i : i + 16, None] + n[None, :]) * (100 - percent)
+            ok = (label[i : i + 16, None] != label[None, :]) & (node[i : i + 16, None] < node[None, :]) & (np.abs(n[i : i + 16, None] - n[None, :]) * (100 + percent) <= most)
+            if both:
+                ok &= block[i : i + 16, None] != block[None, :]
+            x, y = np.nonzero(ok)
+            good = np.abs(counts[i + x] - counts[y]).sum(1, dtype=np.int64) * (100 + percent) <= most[x, y]
+            out += [p for p in zip(node[i + x[good]].tolist(), node[y[good]].tolist(), strict=True) if p not in seen]
+        seen.update(out)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[0][:3] != r[:3]:
+                    out += pairs(rows, seen)
+                    rows = []
+                rows.append(r)
+            if len(seen) > _SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        if rows and (out := pairs(rows, seen)):
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
 class Join:
     """One run of the join over ``docs`` (doc_id, text)."""
 
@@ -199,10 +254,12 @@ class Join:
     def buckets(self) -> DataFrame:
         """sig, node, n, size and pivot of all published subsets that different sets share."""
         kind = "sig long, node long, n long"
-        counts = self.text.mapInArrow(_publish(self.n, self.percent, np.zeros(0, U)), kind).groupBy("sig").agg(F.count("*").alias("c"))
-        top = counts.where(F.col("c") > SMALL).orderBy(F.desc("c"), "sig").limit(self.hot_keys).select("sig").collect()
+        copied = bitmap(self.nodes.where("n > 0").groupBy("node").count().where("count > 1").select("node"))
+        counts = self.text.mapInArrow(_publish(self.n, self.percent, np.zeros(0, U), copied), kind).groupBy("sig").agg(F.count("*").alias("c"))
+        frequent = scratch.table(counts.where(F.col("c") > SMALL), "frequent")
+        top = scratch.most_frequent(frequent, "c", self.hot_keys).select("sig").collect()
         hot = np.sort(np.array([r[0] for r in top], np.int64).view(U))
-        published = self.text.mapInArrow(_publish(self.n, self.percent, hot), kind)
+        published = self.text.mapInArrow(_publish(self.n, self.percent, hot), kind).repartition("sig").dropDuplicates(["sig", "node"])
         whole = "OVER (PARTITION BY sig)"
         found = published.selectExpr("*", f"count(*) {whole} AS size", f"min(node) {whole} AS low", f"max(node) {whole} AS high")
         return scratch.table(found.where("low < high").drop("high"), "buckets")
@@ -215,12 +272,7 @@ class Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar, by their whole texts."""
         ends = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
-        size = 1 << min(24, max(12, (16 * ends.count()).bit_length()))
-        bits = np.zeros(size // 64, np.int64)
-        at = F.col("a").bitwiseAND(F.lit(size - 1))
-        for w, x in ends.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(a & 63 AS int))"))).collect():
-            bits[w] = x
-        texts = self.text.mapInArrow(_texts(self.n, bits.view(U)), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+        texts = self.text.mapInArrow(_texts(self.n, bitmap(ends)), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
         texts = scratch.table(texts, "texts")
         salted = pairs.withColumn("salt", F.pmod("b", F.lit(_SALTS)))
         partner = salted.join(texts.withColumnRenamed("node", "b"), "b", "left").select("a", "salt", "b", "text")
@@ -239,23 +291,29 @@ class Join:
         links = scratch.table(self.links(pairs), "links")
         labels = scratch.table(components(links), "labels")
         for turn in range(self.pivots + 1):
-            now = large.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
-            split = now.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"), F.min_by("label", F.xxhash64("node", F.lit(turn))).alias("own")).where("least < most")
+            now = large.join(labels, "node", "left").select("sig", "node", "n", "size", F.coalesce("label", "node").alias("label"))
+            now = scratch.table(now, "large")
+            split = now.groupBy("sig").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p")).where("least < most").select("sig", F.col("p.node").alias("pivot"), F.col("p.label").alias("own"))
             if turn < self.pivots:
                 more = now.join(split, "sig").where("label <> own").selectExpr("least(pivot, node) AS a", "greatest(pivot, node) AS b")
+                more = self.plausible(more.distinct().join(pairs, ["a", "b"], "left_anti"))
             else:
-                left = now.join(split.select("sig"), "sig")
-                more = left.alias("x").join(left.alias("y"), F.expr(f"x.sig = y.sig AND x.node < y.node AND x.label <> y.label AND {fits}")).selectExpr("x.node AS a", "y.node AS b")
-            more = scratch.table(self.plausible(more.distinct().join(pairs, ["a", "b"], "left_anti")), "pairs")
+                more = self.apart(now.join(split.select("sig"), "sig", "left_semi")).distinct().join(pairs, ["a", "b"], "left_anti")
+            more = scratch.table(more, "pairs")
             if more.isEmpty():
-                if turn < self.pivots:
-                    continue
-                break
+                continue
             pairs = pairs.union(more)
             links = scratch.table(links.union(self.links(more)), "links")
             labels = scratch.table(components(links), "labels")
         return labels
 
+    def apart(self, rows: DataFrame) -> DataFrame:
+        """Plausible pairs with different labels in buckets, whose rows meet block by block."""
+        rows = rows.join(self.profile.select("node", "classes"), "node").withColumn("blocks", F.ceil(F.col("size") / _ROWS_IN_BLOCK).cast("long"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        keyed = rows.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "n", "classes")
+        return keyed.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_apart(self.percent), "a long, b long")
+
 
 def components(links: DataFrame) -> DataFrame:
     """node and label (the smallest node of its component) of the nodes in ``links`` (a, b), by
@@ -277,7 +335,7 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def components_of(docs: DataFrame, percent: int = 80, n: int = 5, hot_keys: int = 1 << 18, pivots: int = 2) -> DataFrame:
+def components_of(docs: DataFrame, percent: int = 80, n: int = 5, hot_keys: int = 1 << 18, pivots: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of all rows of ``docs`` (doc_id, text)."""
     join = Join(docs, percent, n, hot_keys, pivots)
     ids = join.profile.select("node", "doc_id").join(join.labels(), "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
@@ -288,7 +346,7 @@ def components_of(docs: DataFrame, percent: int = 80, n: int = 5, hot_keys: int
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, percent: int = 80, n: int = 5, hot_keys: int = 1 << 18, pivots: int = 2) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = 80, n: int = 5, hot_keys: int = 1 << 18, pivots: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a smaller doc_id in their component.
     Of rows that share the doc_id as well, all stay; rows without a set or an id stay."""
     drop = components_of(docs, percent, n, hot_keys, pivots).where("component_id < doc_id").select(F.col("doc_id").alias("_drop"))
