@@ -235,7 +235,7 @@ def fit(training: DataFrame, vocabulary: str, rounds: int = 2, prior: float = 10
             use[r[0]] += r[1]
         use[-1] += 1
         pieces = Pieces(pieces.names, np.log(use / use.sum()))
-    top = np.array(sorted((r.hash, r.n) for r in counts.orderBy(F.desc("n"), "hash").limit(hot).select("hash", "n").collect()), np.int64).reshape(-1, 2)
+    top = np.array(sorted((r.hash, r.n) for r in scratch.most_frequent(counts, "n", hot).select("hash", "n").collect()), np.int64).reshape(-1, 2)
     keys = top[:, 0].view(np.uint64) if top[:, 0].flags.c_contiguous else np.ascontiguousarray(top[:, 0]).view(np.uint64)
     order = np.argsort(keys)
     discount = once / (once + 2 * twice) if once and twice else 0.5

@@ -2,7 +2,7 @@
 
 Words and runs of punctuation, and pairs of neighbours, are hashed into ``BUCKETS`` buckets. The raw model counts all
 documents; the target model counts documents labelled as good without the quarter that is held out, of
-which at most ``target_rows`` (those of smallest hashed id) are taken. Both have add-one smoothing and a fixed size. A document's log weight is
+which about ``target_rows`` (by the hash of the id) are taken at most. Both have add-one smoothing and a fixed size. A document's log weight is
 the sum over its n-grams of log p_target - log p_raw. Adding standard Gumbel noise and taking the k
 largest samples k documents without replacement in proportion to their weights.
 
@@ -87,7 +87,8 @@ def _good(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> np.ndarray:
     """log p_target - log p_raw of every bucket. ``labels``: doc_id, quality (1: good)."""
     good = _good(labels).where(f"NOT ({HELD_OUT})")
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).select("doc_id", F.lit(True).alias("target"))
+    share = min(1.0, target_rows / max(1, good.count()))
+    good = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", F.lit(True).alias("target"))
     rows = _text(docs).join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = np.zeros((2, BUCKETS))
     for r in rows.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
