@@ -293,7 +293,7 @@ grammar("sequence", _pair("prep", "article"), lambda c: G.seq(c("prep"), c("arti
 grammar("alternation", f"{_pair('prep', 'article')} UNION {_pair('prep', 'tion')}", lambda c: G.alt(G.seq(c("prep"), c("article")), G.seq(c("prep"), c("tion"))))
 grammar("optional", f", pa AS ({_pair('prep', 'article')}) {_pair('prep', 'th')} UNION {_pair('pa', 'th')}", lambda c: G.opt_between(c("prep"), c("article"), c("th")))
 _RUN = "run AS (SELECT * FROM th UNION SELECT x.doc_id, x.sent_id, x.f, y.t FROM run x JOIN th y " + _ON + ")"
-_MAX = "SELECT * FROM run a WHERE NOT EXISTS (SELECT 1 FROM run b WHERE a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND b.f <= a.f AND b.t >= a.t AND b.t - b.f > a.t - a.f)"
+_MAX = "SELECT doc_id, sent_id, min(f) AS f, max(t) AS t FROM (SELECT *, f - row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY f) AS g FROM th) GROUP BY doc_id, sent_id, g"
 _OUT = "SELECT * FROM tion r WHERE NOT EXISTS (SELECT 1 FROM run d WHERE r.doc_id = d.doc_id AND r.sent_id = d.sent_id AND d.f <= r.f AND r.f < d.t)"
 _CO = f"co AS (SELECT * FROM th UNION SELECT x.doc_id, x.sent_id, x.f, z.t FROM co x JOIN comma y {_ON} JOIN th z ON z.doc_id = y.doc_id AND z.sent_id = y.sent_id AND z.f = y.t)"
 _TRIM = "SELECT DISTINCT m.doc_id, m.sent_id, min(x.f) AS f, max(x.t) AS t FROM m JOIN tion x ON x.doc_id = m.doc_id AND x.sent_id = m.sent_id AND x.f >= m.f AND x.t <= m.t GROUP BY m.doc_id, m.sent_id, m.f, m.t"
@@ -302,9 +302,9 @@ grammar("plus", f", {_RUN} SELECT * FROM run", _longest, lambda c: G.token_runs(
 grammar("star", f", {_RUN} SELECT * FROM tion UNION {_pair('run', 'tion')}", _longest, lambda c: G.token_runs(c("s0")), lambda c: G.alt(c("tion"), G.seq(c("s1"), c("tion"))))
 grammar("coordination", f", {_CO} SELECT * FROM co", lambda c: G.coordinated(c("th"), c("comma")))
 grammar("count", f", {_RUN} SELECT * FROM run WHERE t - f <= 2", _longest, lambda c: G.token_runs(c("s0"), 2))
-grammar("maximal", f", {_RUN} {_MAX}", _longest)
+grammar("maximal", _MAX, _longest)
 grammar("dominance", f", {_RUN} {_OUT}", _longest, lambda c: G.outside(c("tion"), c("s0")))
-grammar("trim", f", {_RUN}, m AS ({_MAX}) {_TRIM}", _longest, lambda c: G.trim(c("s0"), c("tion")))
+grammar("trim", f", m AS ({_MAX}) {_TRIM}", _longest, lambda c: G.trim(c("s0"), c("tion")))
 
 
 @query(f"WITH {TOKS} SELECT DISTINCT a.doc_id, a.sent_id FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND b.pos > a.pos AND b.pos - a.pos - 1 <= 2 WHERE a.low IN ('of', 'in', 'de', 'von') AND regexp_matches(b.low, '^(?:.*tion)$')")
