@@ -12,7 +12,7 @@ neighbourhoods; if twice their number is too small as well, a common key of such
 
 Buckets of equal subsets: small ones give all pairs of their sets; large ones (groups of near copies) give
 pairs with one pivot, and only what links leave apart is looked at again, with another pivot, at last
-in full, block by block. Pairs pass a bound on the difference (counts of 128 classes of shingles) and are then verified exactly on whole texts. Equal sets
+in full, block by block. Pairs pass a bound on the difference (counts of shingles by class) and are then verified exactly on whole texts. Equal sets
 are one node from the start. Links are joined to components by star contraction.
 
 The hot list (``hot_keys`` most frequent subsets) and the filter of needed texts are of bounded size and
@@ -38,8 +38,8 @@ from factloom.llm import textops as X
 
 U = X.U
 SMALL = 32  # sets in a bucket that gives all its pairs; subsets that more sets have are hot
-CLASSES = 128
-_SALTS = 16
+MOST_BITS = 14  # of classes of hashes
+_PARTNERS = 256  # of a pivot that go to one task
 _ROWS_IN_BLOCK = 4096
 _SCHEME, _SEGMENT, _NODE = (X.mix(np.array([11, 12, 13], U)) | U(1))
 _SEEN = 1 << 20
@@ -82,8 +82,21 @@ def signatures(s: np.ndarray, percent: int, hot: np.ndarray) -> list[np.ndarray]
 
 
 def classes(s: np.ndarray) -> bytes:
-    """How many of its members are in each class, up to 255."""
-    return np.minimum(np.bincount((s >> U(57)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+    """How many members are in each class of hashes, up to 255: classes by the top bits, half as many as
+    members up to as many, so counts of smaller and larger sets can be folded to one resolution."""
+    bits = min(MOST_BITS, max(6, len(s).bit_length() - 1))
+    return np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of members that only one of two sets has."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if a.size != b.size:
+        if max(a.max(), b.max()) == 255:
+            return 0
+        size = min(a.size, b.size)
+        a, b = a.reshape(size, -1).sum(1, dtype=np.int32), b.reshape(size, -1).sum(1, dtype=np.int32)
+    return int(np.abs(np.subtract(a, b, dtype=np.int32)).sum())
 
 
 def _sets(n: int) -> Callable:
@@ -151,9 +164,9 @@ def _similar_bound(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for c in ("classes_a", "classes_b"))
-                most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (100 - percent)
-                good = np.abs(x - y).sum(1, dtype=np.int64) * (100 + percent) <= most
+                sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True)
+                counts = zip(batch.column("classes_a").to_pylist(), batch.column("classes_b").to_pylist(), strict=True)
+                good = [abs(n - m) * (100 + percent) <= (n + m) * (100 - percent) and least_difference(x, y) * (100 + percent) <= (n + m) * (100 - percent) for (n, m), (x, y) in zip(sizes, counts, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
@@ -206,36 +219,39 @@ def _apart(percent: int) -> Callable:
     sorted by (sig, low, high); a key has two blocks of rows at most, and pairs are taken within the
     one block or between the two."""
 
-    def pairs(rows: list[tuple], seen: set) -> list[tuple[int, int]]:
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         node, label, n = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
-        block = np.array([r[3] for r in rows])
-        counts = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+        block, size = np.array([r[3] for r in rows]), np.array([len(r[7]) for r in rows])
+        common = int(size.min())
+        fine = [np.frombuffer(r[7], np.uint8).reshape(common, -1) for r in rows]
+        exact = np.array([x.shape[1] == 1 or x.max() < 255 for x in fine])
+        counts = np.stack([x.sum(1, dtype=np.int32) if x.shape[1] > 1 else x[:, 0].astype(np.int32) for x in fine])
         both, out = rows[0][1] != rows[0][2], []
-        for i in range(0, len(rows), 16):
-            most = (n[i : i + 16, None] + n[None, :]) * (100 - percent)
-            ok = (label[i : i + 16, None] != label[None, :]) & (node[i : i + 16, None] < node[None, :]) & (np.abs(n[i : i + 16, None] - n[None, :]) * (100 + percent) <= most)
+        for i in range(len(rows)):
+            most = (n[i] + n) * (100 - percent)
+            ok = (label[i] != label) & (node[i] < node) & (np.abs(n[i] - n) * (100 + percent) <= most)
             if both:
-                ok &= block[i : i + 16, None] != block[None, :]
-            x, y = np.nonzero(ok)
-            good = np.abs(counts[i + x] - counts[y]).sum(1, dtype=np.int64) * (100 + percent) <= most[x, y]
-            out += [p for p in zip(node[i + x[good]].tolist(), node[y[good]].tolist(), strict=True) if p not in seen]
-        seen.update(out)
+                ok &= block[i] != block
+            y = np.flatnonzero(ok)
+            if len(y):
+                far = np.abs(counts[i] - counts[y]).sum(1, dtype=np.int64) * (100 + percent) > most[y]
+                if exact[i]:
+                    y = y[~(far & exact[y])]
+                # each pair is given by the first bucket that holds both of its sets
+                out += [(int(node[i]), int(node[j])) for j in y if min(rows[i][8] & rows[j][8]) == rows[0][0]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        seen: set[tuple[int, int]] = set()
         for batch in batches:
             out = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and rows[0][:3] != r[:3]:
-                    out += pairs(rows, seen)
+                    out += pairs(rows)
                     rows = []
-                rows.append(r)
-            if len(seen) > _SEEN:
-                seen.clear()
+                rows.append((*r[:8], set(r[8])))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-        if rows and (out := pairs(rows, seen)):
+        if rows and (out := pairs(rows)):
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
@@ -274,7 +290,8 @@ class Join:
         ends = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
         texts = self.text.mapInArrow(_texts(self.n, bitmap(ends)), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
         texts = scratch.table(texts, "texts")
-        salted = pairs.withColumn("salt", F.pmod("b", F.lit(_SALTS)))
+        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / _PARTNERS).cast("long").alias("salts"))
+        salted = pairs.join(salts, "a").select("a", "b", F.pmod("b", "salts").alias("salt"))
         partner = salted.join(texts.withColumnRenamed("node", "b"), "b", "left").select("a", "salt", "b", "text")
         pivot = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a", "left").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
         rows = partner.unionByName(pivot).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
@@ -309,9 +326,10 @@ class Join:
 
     def apart(self, rows: DataFrame) -> DataFrame:
         """Plausible pairs with different labels in buckets, whose rows meet block by block."""
-        rows = rows.join(self.profile.select("node", "classes"), "node").withColumn("blocks", F.ceil(F.col("size") / _ROWS_IN_BLOCK).cast("long"))
+        buckets = rows.groupBy("node").agg(F.collect_list("sig").alias("sigs"))  # no more than the set has published
+        rows = rows.join(buckets, "node").join(self.profile.select("node", "classes"), "node").withColumn("blocks", F.ceil(F.col("size") / _ROWS_IN_BLOCK).cast("long"))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        keyed = rows.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "n", "classes")
+        keyed = rows.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "n", "classes", "sigs")
         return keyed.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_apart(self.percent), "a long, b long")
 
 
