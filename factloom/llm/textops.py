@@ -68,6 +68,7 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK) -> Iterator[pa
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch took goes back to the system
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
