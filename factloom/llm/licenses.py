@@ -2,12 +2,13 @@
 
 A multinomial logistic regression on the presence of word n-grams (1 and 2 words) tells licence
 families from each other and from other text. It is fitted on the driver from a small fixed table:
-phrases that name a licence, notices (``TEMPLATES``), and ordinary sentences. Only n-grams with a cue
-word count, a cue word being one of the licence texts that no ordinary sentence has; so a paragraph
-without a cue word gets the bias alone, which says "none", and is passed over early without a loss.
-Held-out phrases set a temperature, and with phrases of other licences the probability under which a
-family becomes ``unknown``. A prediction is confirmed if enough of the paragraph's word pairs with a
-cue stand in the family's templates.
+phrases that name a licence, notices (``TEMPLATES``) whole and in pieces, and ordinary sentences. All
+n-grams of the licence texts are features. Those that ordinary sentences have too may speak against all
+families alike, never for one; so a paragraph without any other (``Model.anchors``) gets "none" at least as
+surely as an empty one, and is passed over early without a loss. Held-out phrases set a temperature,
+and with phrases of other licences the probability under which a family becomes ``unknown``. A
+prediction is confirmed if enough of the paragraph's word pairs that are anchors or hold a cue (a
+licence word that no ordinary sentence has) stand in the family's templates.
 
 Scanning uses built-in functions only, in one narrow pass: no join, no shuffle, no Python.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,7 +66,7 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "Proprietary": ["All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.", "Copyright Example Corporation. All rights reserved."],
 }
-#: ordinary sentences: words that are no cues
+#: ordinary sentences: their words and pairs are no evidence of a licence
 ORDINARY = """The work of this group is free and open to the public. You may use the file as you like, under one condition. A person can modify the terms with notice.
 In the software library the source code is published for any purpose. With or without a fee, all of it is related to the law. This program was released at a fair in May.
 The author has the right to copy a part and to distribute it. He was granted a free lunch, and all the conditions are met. It is available from the site at 4 pm, version 3, clause 2, part 1 0.
@@ -73,9 +75,14 @@ By and by the people met at the end of the agreement. Attribution of the paintin
 le la les de des un une et est sur pour dans que qui avec par du en au aux ce ne pas plus son sa ses il elle on nous vous
 der die das und ist mit von zu auf für nicht ein eine einer den dem des im am als auch bei nach aus wie sich es er sie wir ihr
 el los las una unos y es por con para como más su sus lo al del se no si ya muy sin sobre entre cuando sa
-that into following provided via except deal charge forms files extent subject medium covered documentation associated permitted distributed corporation
-identifier binary compliance copying confidential obtain obtaining modification prohibited strictly rights reserved hereby restriction neighboring v""".split("\n")
-#: licences of no family
+We looked into that via the following link. A charge was provided for, except by one deal. The forms and files are subject to some extent to the medium. The box was covered with the documentation of an associated corporation. Visitors are permitted and leaflets distributed.
+The identifier of a binary star. In compliance with the plan, she is copying a confidential letter. They obtain, and were obtaining, a modification. Smoking is strictly prohibited. Human rights matter. We reserved a table. I hereby resign. A neighboring town has a restriction. Figure v is new.
+It is in the house, to the left of the door, at the end, by the sea, from the hill, with the dog, for the boy, on the way and in the end. You can see it or not. Any of this is a part of that, and this is for you to the extent that it is to be seen. He is under the table, under a tree. That is under this roof. You may not go. This file is a copy of the file. This work is new. This software is old. The software is in a box. The work is to use it.
+Read version 2.0, version 3.0, version 4.0, version 1.0, v2.0, v 2, 2.1, 3.0, 4.0 and 2.0, version 3 or version 2. The terms of the house. Of the work. The code is here. It was available under pressure. In source and in form. To any person or to any of us. In any medium or form. To use and to copy. This library is open. And use it for any purpose with or without it. May use. Use this. The author has. The following conditions hold. Free of it. Free of charge. Related to this work. In the public interest. Public library. A general rule""".split("\n")
+#: licences of no family to learn from, in frames, and phrases that many families share: they speak for all families alike
+SHARED = ["Eclipse Public License 2.0", "Common Public License 1.0", "Sun Public License", "Public License", "Boost Software License 1.0", "zlib License", "PostgreSQL License", "Academic Free License", "Sample Public Licence", "license of its authors", "license in that file", "license", "Sample Free Licence 1.1"]
+COMMON = ["Permission is hereby granted.", "Read the license.", "The license has details.", "The licence is here.", "This is licensed."]
+#: licences of no family, to set the bar for unknown
 OTHER = ["Licensed under the Example Public License 1.1.", "Released under the Open Gaming License.", "Licensed under the European Union Public Licence.", "Distributed under the Artistic License.", "This work is licensed under the Zope License.", "Licensed under a license that we wrote.", "See the license for details."]
 
 
@@ -83,9 +90,14 @@ def words(text: str) -> list[str]:
     return re.findall(_WORD, text.lower())
 
 
-def grams(found: list[str], cues: set[str]) -> set[str]:
-    pairs = list(zip(found[:-1], found[1:], strict=True))
-    return {w for w in found if w in cues} | {f"{a} {b}" for a, b in pairs if a in cues or b in cues}
+def grams(found: list[str]) -> set[str]:
+    return {*found, *(f"{a} {b}" for a, b in zip(found[:-1], found[1:], strict=True))}
+
+
+def pieces(text: str, size: int = 8) -> list[str]:
+    """Windows of a notice's words, half overlapping."""
+    found = words(text)
+    return [" ".join(found[i : i + size]) for i in range(0, max(1, len(found) - size // 2), size // 2)]
 
 
 @dataclass
@@ -93,10 +105,11 @@ class Model:
     classes: list[str]  # the last is NONE
     weights: dict[str, list[float]]
     bias: list[float]
-    cues: list[str]
+    cues: list[str]  # words of licences that no ordinary sentence has
+    anchors: list[str]  # the n-grams that speak for a family; without one a paragraph is NONE
     temperature: float
     least: float  # a family's probability below this is unknown
-    templates: dict[str, list[str]]  # pairs of words with a cue, by family
+    templates: dict[str, list[str]]  # pairs of words, by family
 
     def predict(self, paragraph: str) -> tuple[str, float]:
         """Class and probability, as the scan gives them."""
@@ -107,7 +120,7 @@ class Model:
         return (self.classes[i] if p[i] >= self.least else UNKNOWN), float(p[i])
 
     def logits(self, paragraph: str) -> np.ndarray:
-        return sum((np.array(self.weights[g]) for g in sorted(grams(words(paragraph), set(self.cues))) if g in self.weights), np.array(self.bias))
+        return sum((np.array(self.weights[g]) for g in sorted(grams(words(paragraph))) if g in self.weights), np.array(self.bias))
 
 
 def _softmax(z: np.ndarray, temperature: float) -> np.ndarray:
@@ -119,48 +132,69 @@ def train(steps: int = 300, rate: float = 2.0, l2: float = 2e-4, small: float =
     """From the tables above only: always the same model."""
     rows = [(f.format(n), k) for k, ns in NAMES.items() for n in ns for f in FRAMES]
     held = [r for i, r in enumerate(rows) if i % 5 == 3]
-    rows = [r for i, r in enumerate(rows) if i % 5 != 3] + [(t, k) for k, ts in TEMPLATES.items() for t in ts] * 2 + [(s, NONE) for line in ORDINARY for s in [line, *re.split(r"[.;] ", line)]] * 3
+    ordinary = [s for line in ORDINARY for s in re.split(r"[.;] ", line)]
+    rows = [r for i, r in enumerate(rows) if i % 5 != 3] + [(t, k) for k, ts in TEMPLATES.items() for t in ts] * 2
+    rows += [(piece, k) for k, ts in TEMPLATES.items() for t in ts for piece in pieces(t)] + [(piece, k) for k, ts in TEMPLATES.items() for t in ts for piece in re.split(r"[.;] ", t)] * 2
+    rows += [(f.format(n), UNKNOWN) for n in SHARED for f in FRAMES] + [(t, UNKNOWN) for t in COMMON] * 6
     classes = [*NAMES, NONE]
-    plain = {w for line in ORDINARY for w in words(line)}
-    cues = {w for t, k in rows if k != NONE for w in words(t)} - plain
-    held += [(s, NONE) for line in ORDINARY for s in re.split(r"[.;] ", line)]
-    names = sorted({g for t, _ in rows for g in grams(words(t), cues)})
+    plain = {g for t in [*ORDINARY, *ordinary] for g in grams(words(t))}
+    names = sorted({g for t, _ in rows for g in grams(words(t))} | {g for ts in TEMPLATES.values() for t in ts for g in grams(words(t))})
+    cues = {g for g in names if " " not in g} - plain
+    rows = [(t, k) for t, k in rows if not grams(words(t)) <= plain] + [(t, NONE) for t in [*ORDINARY, *ordinary]] * 3
+    held += [(t, NONE) for t in ordinary]
     at = {g: i for i, g in enumerate(names)}
+    weak = np.array([g in plain for g in names])
 
     def matrix(texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(names)))
         for i, t in enumerate(texts):
-            x[i, [at[g] for g in grams(words(t), cues) if g in at]] = 1
+            x[i, [at[g] for g in grams(words(t)) if g in at]] = 1
         return x
 
-    x, y = matrix([t for t, _ in rows]), np.eye(len(classes))[[classes.index(k) for _, k in rows]]
+    share = dict(zip(classes, np.eye(len(classes)), strict=True)) | {UNKNOWN: np.append(np.full(len(NAMES), 1 / len(NAMES)), 0)}
+    x, y = matrix([t for t, _ in rows]), np.array([share[k] for _, k in rows])
     w, b = np.zeros((len(names), len(classes))), np.zeros(len(classes))
     b[-1] = 2.0
     for _ in range(steps):
         g = (_softmax(x @ w + b, 1.0) - y) / len(x)
         w -= rate * (x.T @ g * 3 + l2 * w)
         b -= rate * g.sum(0)
+        w[weak, :-1] = np.minimum(w[weak, :-1].mean(1, keepdims=True), w[weak, -1:])
     w[np.abs(w) < small] = 0
+    w, b = w.round(6), b.round(6)
     z, k = matrix([t for t, _ in held]) @ w + b, np.array([classes.index(c) for _, c in held])
     loss = {t: -np.log(_softmax(z, t)[np.arange(len(k)), k] + 1e-12).mean() for t in np.linspace(0.2, 3, 29)}
     temperature = float(min(loss, key=loss.get))
     known = _softmax(z, temperature)[:, :-1][k < len(classes) - 1].max(1)
     other = _softmax(matrix(OTHER) @ w + b, temperature)[:, :-1].max(1)
     least = float(max(np.linspace(0.3, 0.95, 66), key=lambda t: (known >= t).mean() + (other < t).mean()))
-    templates = {c: sorted({g for t in TEMPLATES[c] + [f.format(n) for n in NAMES[c] for f in FRAMES] for g in grams(words(t), cues) if " " in g}) for c in NAMES}
-    return Model(classes, {g: w[i].round(6).tolist() for g, i in at.items() if w[i].any()}, b.round(6).tolist(), sorted(cues), temperature, least, templates)
+    if np.exp((b[:-1] - b[-1]) / temperature).sum() > 1:
+        raise ValueError("an empty paragraph is not told from a licence")
+    anchors = [g for g, i in at.items() if w[i, :-1].max() > w[i, -1]]
+    templates = {c: sorted({g for t in TEMPLATES[c] + [f.format(n) for n in NAMES[c] for f in FRAMES] for g in grams(words(t)) if " " in g}) for c in NAMES}
+    return Model(classes, {g: w[i].tolist() for g, i in at.items() if w[i].any()}, b.tolist(), sorted(cues), anchors, temperature, least, templates)
 
 
 def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often body has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _pairs(w: Column) -> Column:
+    pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+
 def _any_of(texts: list[str]) -> str:
-    """A pattern for any of the words, with common beginnings shared."""
+    """A pattern for any of the n-grams, with common beginnings shared and any signs between words."""
     heads: dict[str, list[str]] = {}
     for t in sorted(texts):
         heads.setdefault(t[:1], []).append(t[1:])
-    parts = [(re.escape(h) + (rest[0] if len(rest) == 1 else _any_of(rest))) if h else "" for h, rest in sorted(heads.items(), reverse=True)]
+    parts = [(h.replace(" ", "[^a-z0-9]+") + (rest[0].replace(" ", "[^a-z0-9]+") if len(rest) == 1 else _any_of(rest))) if h else "" for h, rest in sorted(heads.items(), reverse=True)]
     return f"(?:{'|'.join(parts)})"
 
 
@@ -168,23 +202,24 @@ def scan(docs: DataFrame, model: Model | None = None, agree: float = 0.5) -> Dat
     """doc_id, paragraph (number of the line, from 0), family, probability, similarity, confirmed and
     text of the lines of ``docs`` (doc_id, text) that speak of a licence."""
     model = model or train()
-    cues, features = F.lit(model.cues), F.lit(sorted(model.weights))
-    speaks = rf"(?<![a-z0-9]){_any_of(model.cues)}(?![a-z0-9])"
+    cues, anchors, features = F.lit(model.cues), F.lit(model.anchors), F.lit(sorted(model.weights))
+    speaks = rf"(?<![a-z0-9]){_any_of(model.anchors)}(?![a-z0-9])"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.lower("text").rlike(speaks))
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).where(F.lower("text").rlike(speaks))
-    found = lines.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.when(F.array_contains(cues, a) | F.array_contains(cues, b), F.concat(a, F.lit(" "), b)))).otherwise(F.array().cast("array<string>"))
-    found = found.withColumn("pairs", F.array_distinct(F.array_compact(pairs)))
-    found = found.withColumn("grams", F.array_intersect(F.array_union("pairs", F.array_distinct("w")), features))
-    weight = _literal(model.weights, "map<string, array<double>>")
-    logits = F.aggregate(F.array_sort("grams"), F.lit(model.bias), lambda acc, g: F.zip_with(acc, F.element_at(weight, g), lambda a, b: a + b))
-    found = found.withColumn("z", logits)
-    found = found.withColumn("e", F.transform("z", lambda x: F.exp((x - F.array_max("z")) / F.lit(model.temperature))))
-    found = found.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)))
-    n = len(model.classes)
-    found = found.where(F.element_at("p", n) < 0.5).withColumn("families", F.slice("p", 1, n - 1)).withColumn("probability", F.array_max("families"))
+    weight, n = _literal(model.weights, "map<string, array<double>>"), len(model.classes)
+
+    def judged(text: Column) -> Column:
+        return _let(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda w: _let(_pairs(w), lambda pairs: _let(logits(w, pairs), lambda z: _let(F.array_max(z), lambda top: _let(F.transform(z, lambda x: F.exp((x - top) / F.lit(model.temperature))), lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.struct(F.transform(e, lambda x: x / total).alias("p"), pairs.alias("pairs"))))))))
+
+    def logits(w: Column, pairs: Column) -> Column:
+        return F.aggregate(F.array_sort(F.array_intersect(F.array_union(pairs, w), features)), F.lit(model.bias), lambda acc, g: F.zip_with(acc, F.element_at(weight, g), lambda a, b: a + b))
+
+    hits = F.filter(F.array(judged(F.col("text"))), lambda r: F.element_at(r["p"], n) < 0.5)
+    found = lines.select("doc_id", "paragraph", "text", F.explode(hits).alias("hit"))
+    found = found.select("doc_id", "paragraph", "text", F.slice("hit.p", 1, n - 1).alias("families"), "hit.pairs").withColumn("probability", F.array_max("families"))
     best = F.element_at(F.lit(model.classes), F.array_position("families", F.col("probability")).cast("int"))
     template = F.element_at(_literal(model.templates, "map<string, array<string>>"), best)
+    found = found.withColumn("pairs", F.filter("pairs", lambda g: F.array_contains(anchors, g) | F.array_contains(cues, F.substring_index(g, " ", 1)) | F.array_contains(cues, F.substring_index(g, " ", -1))))
     similarity = F.when(F.size("pairs") > 0, F.size(F.array_intersect("pairs", template)) / F.size("pairs")).otherwise(F.lit(0.0))
     found = found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.when(F.col("probability") >= model.least, best).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", similarity.alias("similarity"), "text")
     return found.select("doc_id", "paragraph", "family", "probability", "similarity", ((F.col("family") != UNKNOWN) & (F.col("similarity") >= agree)).alias("confirmed"), "text")

@@ -44,3 +44,22 @@ def test_odd_rows(spark, odd, empty):
 def test_built_in_functions_only(spark, odd):
     plan = L.scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange")) and "udf" not in inspect.getsource(L.scan)
+
+
+def test_every_template_and_every_name_in_every_frame_is_found(spark, model):
+    rows = [(t, k) for k, ts in L.TEMPLATES.items() for t in ts] + [(f.format(n), k) for k, ns in L.NAMES.items() for n in ns for f in L.FRAMES]
+    rows += [("All rights reserved.", "Proprietary"), ("Permission is hereby granted.", L.UNKNOWN)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.scan(docs, model).collect()}
+    assert {i: k for i, (_, k) in enumerate(rows)} == {i: r.family for i, r in got.items()}
+    assert all(got[i].confirmed for i, (t, _) in enumerate(rows) if t == "All rights reserved." or t in sum(L.TEMPLATES.values(), []))
+
+
+def test_what_the_scan_passes_over_is_none(model):
+    weights = {g: w for g, w in model.weights.items() if g not in model.anchors}
+    assert weights and all(max(w[:-1]) <= w[-1] for w in weights.values()) and model.predict("")[0] == L.NONE
+
+
+@pytest.mark.parametrize("text", ["They reserved all the rights they had.", "Smoking is strictly prohibited here.", "The files and the documentation are in a box.", "Entry is free of charge for every person.", "She read version 2.0 of the book.", "He was granted permission to leave."])
+def test_words_of_notices_in_other_sentences_are_none(model, text):
+    assert model.predict(text)[0] == L.NONE
