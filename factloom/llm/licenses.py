@@ -12,7 +12,12 @@ licence word that no ordinary sentence has) stand in the family's templates.
 
 Scanning uses built-in functions only, in one narrow pass: no join, no shuffle, no Python.
 
-Defined cases: a paragraph is a line; null and empty texts give no row; repeated rows are each
+A paragraph is a line, or a run of wrapped lines: a line break is a wrap if neither line is blank and
+the first does not end a sentence before a capital letter. A run is reported if it is a hit and shares
+more pairs with its family's templates than each of its lines that is a hit; it then stands for those
+of its lines that are of its family or unknown. All other lines that are hits are reported.
+
+Defined cases: a run has its first line's number and the text of all its lines; null and empty texts give no row; repeated rows are each
 reported; a null doc_id stays null; other columns are dropped; an empty table gives no rows.
 """
 
@@ -198,28 +203,58 @@ def _any_of(texts: list[str]) -> str:
     return f"(?:{'|'.join(parts)})"
 
 
+#: the end of a line that ends a sentence, and the beginning of one that begins with a capital letter
+_ENDS, _OPENS = r"[.!?:;][^\p{L}\p{N}.!?:;]*$", r"^[^\p{L}\p{N}]*\p{Lu}"
+
+
+def _runs(lines: Column) -> Column:
+    """start (number of the first line, from 0) and lines of each run of wrapped lines."""
+    blank = lambda x: ~x.rlike(r"\S")
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.when(i == 0, True).otherwise(_let(F.slice(lines, i, 2), lambda x: blank(x[0]) | blank(x[1]) | (x[0].rlike(_ENDS) & x[1].rlike(_OPENS)))))
+    return _let(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(lines))), lambda a, b: F.struct(a.alias("start"), F.slice(lines, a + 1, b - a).alias("lines"))))
+
+
 def scan(docs: DataFrame, model: Model | None = None, agree: float = 0.5) -> DataFrame:
-    """doc_id, paragraph (number of the line, from 0), family, probability, similarity, confirmed and
-    text of the lines of ``docs`` (doc_id, text) that speak of a licence."""
+    """doc_id, paragraph (number of its first line, from 0), family, probability, similarity, confirmed
+    and text of the lines and runs of wrapped lines of ``docs`` (doc_id, text) that speak of a licence."""
     model = model or train()
     cues, anchors, features = F.lit(model.cues), F.lit(model.anchors), F.lit(sorted(model.weights))
-    speaks = rf"(?<![a-z0-9]){_any_of(model.anchors)}(?![a-z0-9])"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.lower("text").rlike(speaks))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "text")).where(F.lower("text").rlike(speaks))
     weight, n = _literal(model.weights, "map<string, array<double>>"), len(model.classes)
+    templates = _literal(model.templates, "map<string, array<string>>")
+    pattern = rf"(?<![a-z0-9]){_any_of(model.anchors)}(?![a-z0-9])"
 
-    def judged(text: Column) -> Column:
-        return _let(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)), lambda w: _let(_pairs(w), lambda pairs: _let(logits(w, pairs), lambda z: _let(F.array_max(z), lambda top: _let(F.transform(z, lambda x: F.exp((x - top) / F.lit(model.temperature))), lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.struct(F.transform(e, lambda x: x / total).alias("p"), pairs.alias("pairs"))))))))
+    def speaks(text: Column) -> Column:
+        return F.lower(text).rlike(pattern)
 
     def logits(w: Column, pairs: Column) -> Column:
         return F.aggregate(F.array_sort(F.array_intersect(F.array_union(pairs, w), features)), F.lit(model.bias), lambda acc, g: F.zip_with(acc, F.element_at(weight, g), lambda a, b: a + b))
 
-    hits = F.filter(F.array(judged(F.col("text"))), lambda r: F.element_at(r["p"], n) < 0.5)
-    found = lines.select("doc_id", "paragraph", "text", F.explode(hits).alias("hit"))
-    found = found.select("doc_id", "paragraph", "text", F.slice("hit.p", 1, n - 1).alias("families"), "hit.pairs").withColumn("probability", F.array_max("families"))
-    best = F.element_at(F.lit(model.classes), F.array_position("families", F.col("probability")).cast("int"))
-    template = F.element_at(_literal(model.templates, "map<string, array<string>>"), best)
-    found = found.withColumn("pairs", F.filter("pairs", lambda g: F.array_contains(anchors, g) | F.array_contains(cues, F.substring_index(g, " ", 1)) | F.array_contains(cues, F.substring_index(g, " ", -1))))
-    similarity = F.when(F.size("pairs") > 0, F.size(F.array_intersect("pairs", template)) / F.size("pairs")).otherwise(F.lit(0.0))
-    found = found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.when(F.col("probability") >= model.least, best).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", similarity.alias("similarity"), "text")
+    def chances(z: Column) -> Column:
+        e = _let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp((x - top) / F.lit(model.temperature))))
+        return _let(e, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total)))
+
+    def telling(pairs: Column) -> Column:
+        return F.filter(pairs, lambda g: F.array_contains(anchors, g) | F.array_contains(cues, F.substring_index(g, " ", 1)) | F.array_contains(cues, F.substring_index(g, " ", -1)))
+
+    def hit(text: Column, at: Column, pairs: Column, families: Column) -> Column:
+        probability = F.array_max(families)
+        best = F.element_at(F.lit(model.classes), F.array_position(families, probability).cast("int"))
+        family = F.when(probability >= model.least, best).otherwise(F.lit(UNKNOWN))
+        shared = lambda told: F.size(F.array_intersect(told, F.element_at(templates, best)))
+        return _let(telling(pairs), lambda told: F.struct(at.cast("long").alias("paragraph"), family.alias("family"), probability.alias("probability"), F.when(F.size(told) > 0, shared(told) / F.size(told)).otherwise(F.lit(0.0)).alias("similarity"), shared(told).alias("shared"), text.alias("text")))
+
+    def judged(text: Column, at: Column) -> Column:
+        """The hit, or null."""
+        found = F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+        return _let(found, lambda w: _let(_pairs(w), lambda pairs: _let(chances(logits(w, pairs)), lambda p: F.when(F.element_at(p, n) < 0.5, hit(text, at, pairs, F.slice(p, 1, n - 1))))))
+
+    def of_run(run: Column) -> Column:
+        lines = F.filter(F.transform(run["lines"], lambda x, i: F.struct(x.alias("x"), (run["start"] + i).alias("at"))), lambda s: speaks(s["x"]))
+        alone = F.array_compact(F.transform(lines, lambda s: judged(s["x"], s["at"])))
+        whole = F.when(F.size(run["lines"]) > 1, judged(F.array_join(run["lines"], "\n"), run["start"]))
+        return _let(alone, lambda alone: _let(whole, lambda whole: F.when(whole.isNull() | F.exists(alone, lambda h: h["shared"] >= whole["shared"]), alone).otherwise(F.concat(F.array(whole), F.filter(alone, lambda h: (h["family"] != whole["family"]) & (h["family"] != UNKNOWN))))))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(speaks(F.col("text")))
+    runs = _let(F.split("text", "\n"), lambda lines: F.filter(_runs(lines), lambda run: speaks(F.array_join(run["lines"], "\n"))))
+    found = rows.select("doc_id", F.explode(F.flatten(F.transform(runs, of_run))).alias("hit")).select("doc_id", "hit.*")
     return found.select("doc_id", "paragraph", "family", "probability", "similarity", ((F.col("family") != UNKNOWN) & (F.col("similarity") >= agree)).alias("confirmed"), "text")

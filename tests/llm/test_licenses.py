@@ -1,4 +1,5 @@
 import inspect
+import textwrap
 
 import pytest
 
@@ -63,3 +64,21 @@ def test_what_the_scan_passes_over_is_none(model):
 @pytest.mark.parametrize("text", ["They reserved all the rights they had.", "Smoking is strictly prohibited here.", "The files and the documentation are in a box.", "Entry is free of charge for every person.", "She read version 2.0 of the book.", "He was granted permission to leave."])
 def test_words_of_notices_in_other_sentences_are_none(model, text):
     assert model.predict(text)[0] == L.NONE
+
+
+@pytest.mark.parametrize("width", [30, 50, 70])
+def test_wrapped_notices_are_judged_whole(spark, model, width):
+    rows = [(t, k) for k, ts in L.TEMPLATES.items() for t in ts if len(t) > width]
+    wrapped = ["\n".join(f" * {x}" for x in textwrap.wrap(t, width)) for t, _ in rows]
+    docs = spark.createDataFrame([(i, f"Some prose.\n\n{t}\n\nMore prose.") for i, t in enumerate(wrapped)], "doc_id long, text string")
+    got = {(r.doc_id, r.text): r for r in L.scan(docs, model).collect()}
+    whole = {i: got[i, t] for i, t in enumerate(wrapped) if (i, t) in got}
+    assert all((r.paragraph, r.family, r.confirmed) == (2, rows[i][1], True) for i, r in whole.items())
+    assert {rows[i][1] for i in whole} >= {"MIT", "GPL", "LGPL", "AGPL", "BSD", "ISC", "CC0"}
+    for i in set(range(len(rows))) - set(whole):  # cut at the end of a sentence, or one line has all the pairs
+        assert any(d == i and r.family == rows[i][1] and r.confirmed for (d, _), r in got.items())
+
+
+def test_lines_of_a_list_stay_apart(spark, model):
+    docs = spark.createDataFrame([(1, "License: MIT License\nLicense: BSD License\nand more\n\nx")], "doc_id long, text string")
+    assert {(r.paragraph, r.family) for r in L.scan(docs, model).collect()} >= {(0, "MIT"), (1, "BSD")}
