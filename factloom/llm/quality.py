@@ -7,7 +7,9 @@ the sum over its n-grams of log p_target - log p_raw. Adding standard Gumbel noi
 largest samples k documents without replacement in proportion to their weights.
 
 k: a number of rows, a share of them, or None: as many as weigh at least what all but ``tail`` of the
-held-out good documents weigh. The k-th largest key is found by histograms of fixed size, refined until
+held-out good documents weigh. As on small tables that is the single lowest of them, up to ``OUTLIERS``
+more may fall below the bar if that puts a larger share of the documents labelled as bad below it than
+of the held-out good ones. The k-th largest key is found by histograms of fixed size, refined until
 its bin is small; ties with it are all kept.
 
 The noise of a row is a hash of its id, text length and the seed, so retries give the same sample.
@@ -32,6 +34,7 @@ from factloom.llm import textops as X
 
 BITS = 14
 BUCKETS = 1 << BITS
+OUTLIERS = 3
 HELD_OUT = "crc32(cast(doc_id AS string)) % 4 = 0"
 _KIND = np.full(256, 1, np.int8)
 _KIND[[i for i in range(128) if not chr(i).isalnum()]] = 2
@@ -81,7 +84,11 @@ def _text(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def _good(labels: DataFrame) -> DataFrame:
-    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return _labelled(labels, 1)
+
+
+def _labelled(labels: DataFrame, quality: int) -> DataFrame:
+    return labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame, target_rows: int = 20_000) -> np.ndarray:
@@ -143,6 +150,15 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | float | None = None, s
     return scored.withColumn("selected", (F.col("n_tokens") > 0) & (F.col("gumbel_key") >= F.lit(_bar(scored, labels, k, tail))))
 
 
+def _least(good: DataFrame, bad: DataFrame, m: int, tail: float) -> float:
+    """The weight at which a document still counts as good; m: the rows of ``good``."""
+    weight = F.col("log_weight")
+    lowest = kth_largest(good, "log_weight", max(1, m - int(tail * m)))
+    bars = [r[0] for r in good.where(weight >= lowest).select(weight).orderBy(weight).limit(OUTLIERS + 1).collect()]
+    below = bad.agg(F.count("*"), *[F.count(F.when(weight < b, 1)) for b in bars]).first()
+    return max(bars, key=lambda b: below[1 + bars.index(b)] / max(1, below[0]) - bars.index(b) / m)
+
+
 def _bar(scored: DataFrame, labels: DataFrame, k: int | float | None, tail: float) -> float:
     rows = scored.where("n_tokens > 0")
     n = rows.count()
@@ -150,7 +166,7 @@ def _bar(scored: DataFrame, labels: DataFrame, k: int | float | None, tail: floa
         good = rows.join(_good(labels), "doc_id", "left_semi").withColumn("held_out", F.expr(HELD_OUT))
         sizes = {r[0]: r[1] for r in good.groupBy("held_out").count().collect()}
         good, m = (good.where("held_out"), sizes[True]) if True in sizes else (good, sizes.get(False, 0))
-        k = rows.where(F.col("log_weight") >= kth_largest(good, "log_weight", max(1, m - int(tail * m)))).count() if m else n
+        k = rows.where(F.col("log_weight") >= _least(good, rows.join(_labelled(labels, 0), "doc_id", "left_semi"), m, tail)).count() if m else n
     elif isinstance(k, float):
         k = round(k * n)
     return kth_largest(rows, "gumbel_key", min(k, n)) if n and k > 0 else float("inf")

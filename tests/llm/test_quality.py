@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import quality as Q
 
@@ -66,3 +67,16 @@ def test_odd_rows(spark, odd, empty):
     kept = Q.keep_good(odd, labels, k=1.0)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
     assert Q.resample(empty, labels).count() == 0 and Q.keep_good(odd, labels.limit(0)).count() == odd.count() - 3
+
+
+def test_one_low_good_document_does_not_set_the_bar(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = Q.resample(docs, labels).join(labels, "doc_id").withColumn("held_out", F.expr(Q.HELD_OUT)).collect()
+    good, bad = [r.selected for r in rows if r.quality == 1 and r.held_out], [r.selected for r in rows if r.quality == 0]
+    assert len(good) - sum(good) <= Q.OUTLIERS + 1 and sum(bad) < 0.35 * len(bad)
+
+
+def test_the_bar_weighs_lost_good_against_dropped_bad(spark):
+    good = spark.createDataFrame([(x,) for x in (-400.0, 1.0, 2.0, 3.0, 4.0)], "log_weight double")
+    bad = spark.createDataFrame([(x,) for x in (-300.0, -200.0, -100.0)], "log_weight double")
+    assert Q._least(good, bad, 5, 0.0005) == 1.0 and Q._least(good, bad.limit(0), 5, 0.0005) == -400.0
