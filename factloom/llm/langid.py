@@ -4,7 +4,7 @@ A word's features are its bytes' n-grams of 1 to 4 with end marks (those with a
 itself, and the learned lexicons that hold it; between neighbours stand learned transitions. Training maximizes the
 likelihood of sequences joined from word windows of documents of different languages, so switches
 occur in them; labels are the documents' languages. It runs on the driver on a bounded sample:
-``per_lang`` documents of each of at most ``max_langs`` languages (about; picked by hash), ``windows``
+``per_lang`` documents of each language (about; picked by hash), ``windows``
 windows of ``window`` words spread over each. Prediction is exact forward-backward over whole texts:
 long ones are cut into chunks whose transfer matrices carry the messages across, so all chunks of a
 block advance together. The model has a fixed size and travels with the function; no shuffle.
@@ -17,6 +17,7 @@ alike; null doc_ids stay null; other columns are dropped (``predict``) or kept (
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -228,15 +229,16 @@ def _windows(windows: int, window: int) -> Callable:
     return run
 
 
-def fit(labelled: DataFrame, per_lang: int = 250, max_langs: int = 64, windows: int = 6, window: int = 24) -> Model:
-    """Learns from the texts and non-null lang of ``labelled`` (doc_id, text, lang); doc_id only picks the sample."""
+def fit(labelled: DataFrame, per_lang: int = 250, max_langs: int | None = None, windows: int = 6, window: int = 24) -> Model:
+    """Learns from the texts and non-null lang of ``labelled`` (doc_id, text, lang); doc_id only picks the sample.
+    ``max_langs``: only so many languages, the most frequent ones (None: all); texts of the others get one of these."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    ranked = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = {r[0]: r[1] for r in (ranked if max_langs is None else ranked.limit(max_langs)).collect()}
     if not counts:
         return train([])
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(share)
+    shares = F.from_json(F.lit(json.dumps({lang: min(1.0, per_lang / n) for lang, n in counts.items()})), "map<string, double>")
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < share * 1_000_003)
     sample = rows.mapInArrow(_windows(windows, window), "lang string, words array<binary>").collect()
     return train([(r.lang, [bytes(w) for w in r.words]) for r in sample])

@@ -61,3 +61,12 @@ def test_odd_rows(odd, empty, model):
 def test_without_training_rows_all_is_unknown(odd, empty):
     none = L.fit(empty)
     assert {r.lang_pred for r in L.predict(odd, none).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    words = {f"l{k:02}": [f"{a}{chr(97 + k % 26)}{b}{chr(97 + k // 26)}" for a, b in itertools.product("bdgk", "aeiou")] for k in range(70)}
+    rows = [(i, " ".join(words[lang][i % 2 :]), lang) for i, lang in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert model.langs == sorted(words)
+    assert {r.doc_id: r.lang_pred for r in L.predict(docs, model).collect()} == {i: lang for i, _, lang in rows}
