@@ -1,8 +1,8 @@
 """The corpus pipeline: from ``documents`` to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the
-last return the columns of ``documents``. Stage by stage: documents without letters or in no learned
-language go; documents whose resampling key is below the bar go; of each group of near duplicates the
+last return the columns of ``documents``. Stage by stage: documents without letters go (one in a language
+that was not learned counts as the nearest learned one and stays); documents whose resampling key is below the bar go; of each group of near duplicates the
 one with the smallest id stays; documents that hold a benchmark item go; the rest is packed.
 """
 
@@ -18,7 +18,8 @@ from factloom.llm.queries import bpe_path, read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts in a learned language. The bar is low, as a short clean text gives little evidence."""
+    """Drops texts without letters, and those whose words are spread almost evenly over the learned
+    languages. The set is closed, so a text in another language gets one of them and mostly stays."""
     return langid.keep_known(docs, langid.fit(docs.select("doc_id", "text", "lang")), least=0.3)
 
 
