@@ -6,10 +6,12 @@ which about ``target_rows`` (by the hash of the id) are taken at most. Both have
 the sum over its n-grams of log p_target - log p_raw. Adding standard Gumbel noise and taking the k
 largest samples k documents without replacement in proportion to their weights.
 
-k: a number of rows, a share of them, or None: as many as weigh at least what all but ``tail`` of the
-held-out good documents weigh. As on small tables that is the single lowest of them, up to ``OUTLIERS``
-more may fall below the bar if that puts a larger share of the documents labelled as bad below it than
-of the held-out good ones. The k-th largest key is found by histograms of fixed size, refined until
+k: a number of rows, a share of them, or None: the share of good ones among the labelled documents, and
+``spare`` of the rows more, as a good document that is lost weighs more than a bad one that stays. The
+key is log weight / ``temperature`` + noise, with the sum of the log ratios as it is (not divided by the
+length). At temperature 1 rows are drawn in proportion to their ratios, which is importance resampling; as
+the weights of long texts are large, chance decides near the bar only. Larger temperatures let it decide
+more widely. The k-th largest key is found by histograms of fixed size, refined until
 its bin is small; ties with it are all kept.
 
 The noise of a row is a hash of its id, text length and the seed, so retries give the same sample.
@@ -34,7 +36,6 @@ from factloom.llm import textops as X
 
 BITS = 14
 BUCKETS = 1 << BITS
-OUTLIERS = 3
 HELD_OUT = "crc32(cast(doc_id AS string)) % 4 = 0"
 _KIND = np.full(256, 1, np.int8)
 _KIND[[i for i in range(128) if not chr(i).isalnum()]] = 2
@@ -137,49 +138,41 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 1024, small:
     return low
 
 
-def _key(seed: int, weight: str = "log_weight", tokens: str = "n_tokens") -> Column:
+def _key(seed: int | Column, temperature: float = 1.0, weight: str = "log_weight", tokens: str = "n_tokens") -> Column:
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), tokens, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return F.col(weight) - F.log(-F.log(u))
+    return F.col(weight) / F.lit(float(temperature)) - F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 7, target_rows: int = 20_000, tail: float = 0.0005) -> DataFrame:
-    """doc_id, log_weight, n_tokens, gumbel_key and selected for every row of ``docs`` (doc_id, text)."""
-    ratio = fit(docs, labels, target_rows)
+def _scored(docs: DataFrame, labels: DataFrame, ratio: np.ndarray, k: int | float | None, seed: int, temperature: float, spare: float) -> tuple[DataFrame, float]:
+    """Keys of all rows, and the k-th largest of them."""
     scored = _text(docs).mapInArrow(lambda x: (b.drop_columns(["text"]) for b in _score(ratio)(x)), "doc_id long, log_weight double, n_tokens long")
-    scored = scratch.table(scored.withColumn("gumbel_key", _key(seed)), "weights")
-    return scored.withColumn("selected", (F.col("n_tokens") > 0) & (F.col("gumbel_key") >= F.lit(_bar(scored, labels, k, tail))))
+    scored = scratch.table(scored.withColumn("gumbel_key", _key(seed, temperature)), "weights")
+    return scored, _bar(scored, labels, k, spare)
 
 
-def _least(good: DataFrame, bad: DataFrame, m: int, tail: float) -> float:
-    """The weight at which a document still counts as good; m: the rows of ``good``."""
-    weight = F.col("log_weight")
-    lowest = kth_largest(good, "log_weight", max(1, m - int(tail * m)))
-    bars = [r[0] for r in good.where(weight >= lowest).select(weight).orderBy(weight).limit(OUTLIERS + 1).collect()]
-    below = bad.agg(F.count("*"), *[F.count(F.when(weight < b, 1)) for b in bars]).first()
-    return max(bars, key=lambda b: below[1 + bars.index(b)] / max(1, below[0]) - bars.index(b) / m)
+def resample(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 7, target_rows: int = 20_000, temperature: float = 1.0, spare: float = 0.005) -> DataFrame:
+    """doc_id, log_weight, n_tokens, gumbel_key and selected for every row of ``docs`` (doc_id, text)."""
+    scored, bar = _scored(docs, labels, fit(docs, labels, target_rows), k, seed, temperature, spare)
+    return scored.withColumn("selected", (F.col("n_tokens") > 0) & (F.col("gumbel_key") >= F.lit(bar)))
 
 
-def _bar(scored: DataFrame, labels: DataFrame, k: int | float | None, tail: float) -> float:
+def _bar(scored: DataFrame, labels: DataFrame, k: int | float | None, spare: float) -> float:
     rows = scored.where("n_tokens > 0")
     n = rows.count()
     if k is None:
-        good = rows.join(_good(labels), "doc_id", "left_semi").withColumn("held_out", F.expr(HELD_OUT))
-        sizes = {r[0]: r[1] for r in good.groupBy("held_out").count().collect()}
-        good, m = (good.where("held_out"), sizes[True]) if True in sizes else (good, sizes.get(False, 0))
-        k = rows.where(F.col("log_weight") >= _least(good, rows.join(_labelled(labels, 0), "doc_id", "left_semi"), m, tail)).count() if m else n
-    elif isinstance(k, float):
+        good, bad = (rows.join(_labelled(labels, q), "doc_id", "left_semi").count() for q in (1, 0))
+        k = min(1.0, good / (good + bad) + spare) if good else 1.0
+    if isinstance(k, float):
         k = round(k * n)
     return kth_largest(rows, "gumbel_key", min(k, n)) if n and k > 0 else float("inf")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 7, target_rows: int = 20_000, tail: float = 0.0005) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 7, target_rows: int = 20_000, temperature: float = 1.0, spare: float = 0.005) -> DataFrame:
     """The selected rows of ``docs``, with all their columns: rows are scored again as they are
     filtered, which gives the same keys, and saves a join by row."""
     ratio = fit(docs, labels, target_rows)
-    scored = _text(docs).mapInArrow(lambda x: (b.drop_columns(["text"]) for b in _score(ratio)(x)), "doc_id long, log_weight double, n_tokens long")
-    scored = scratch.table(scored.withColumn("gumbel_key", _key(seed)), "weights")
-    bar = _bar(scored, labels, k, tail)
+    _, bar = _scored(docs, labels, ratio, k, seed, temperature, spare)
     weight, tokens = (next(n for n in (base + "_" * i for i in range(1, 99)) if n not in docs.columns) for base in ("log_weight", "n_tokens"))
     schema = T.StructType([*docs.schema.fields, T.StructField(weight, T.DoubleType()), T.StructField(tokens, T.LongType())])
     kept = docs.mapInArrow(_score(ratio, weight, tokens), schema)
-    return kept.where((F.col(tokens) > 0) & (_key(seed, weight, tokens) >= F.lit(bar))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.where((F.col(tokens) > 0) & (_key(seed, temperature, weight, tokens) >= F.lit(bar))).select(*[F.col(f"`{c}`") for c in docs.columns])
