@@ -7,7 +7,7 @@ the sum over its n-grams of log p_target - log p_raw. Adding standard Gumbel noi
 largest samples k documents without replacement in proportion to their weights.
 
 k: a number of rows, a share of them, or None: the share of good ones among the labelled documents, and
-``spare`` of the rows more, as a good document that is lost weighs more than a bad one that stays. The
+``spare`` (of the rows) more, where a lost good document weighs more than a bad one that stays. The
 key is log weight / ``temperature`` + noise, with the sum of the log ratios as it is (not divided by the
 length). At temperature 1 rows are drawn in proportion to their ratios, which is importance resampling; as
 the weights of long texts are large, chance decides near the bar only. Larger temperatures let it decide
@@ -150,7 +150,7 @@ def _scored(docs: DataFrame, labels: DataFrame, ratio: np.ndarray, k: int | floa
     return scored, _bar(scored, labels, k, spare)
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 7, target_rows: int = 20_000, temperature: float = 1.0, spare: float = 0.005) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 7, target_rows: int = 20_000, temperature: float = 1.0, spare: float = 0.0) -> DataFrame:
     """doc_id, log_weight, n_tokens, gumbel_key and selected for every row of ``docs`` (doc_id, text)."""
     scored, bar = _scored(docs, labels, fit(docs, labels, target_rows), k, seed, temperature, spare)
     return scored.withColumn("selected", (F.col("n_tokens") > 0) & (F.col("gumbel_key") >= F.lit(bar)))
@@ -167,7 +167,7 @@ def _bar(scored: DataFrame, labels: DataFrame, k: int | float | None, spare: flo
     return kth_largest(rows, "gumbel_key", min(k, n)) if n and k > 0 else float("inf")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 7, target_rows: int = 20_000, temperature: float = 1.0, spare: float = 0.005) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, k: int | float | None = None, seed: int = 7, target_rows: int = 20_000, temperature: float = 1.0, spare: float = 0.0) -> DataFrame:
     """The selected rows of ``docs``, with all their columns: rows are scored again as they are
     filtered, which gives the same keys, and saves a join by row."""
     ratio = fit(docs, labels, target_rows)

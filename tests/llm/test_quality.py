@@ -115,7 +115,7 @@ def test_query_against_plain_code(spark, small):
         if n:
             keys[r.doc_id] = own[r.doc_id] @ ratio - math.log(-math.log(u))
     good, bad = (sum(i in keys for i, q in quality.items() if q == k) for k in (1, 0))
-    k = round((good / (good + bad) + 0.005) * len(keys))
+    k = round((good / (good + bad)) * len(keys))
     assert {r.doc_id for r in rows if r.selected} == set(sorted(keys, key=keys.get, reverse=True)[:k]) and len(rows) == len(docs)
 
 
