@@ -9,7 +9,13 @@ windows of ``window`` words spread over each. Prediction is exact forward-backwa
 long ones are cut into chunks whose transfer matrices carry the messages across, so all chunks of a
 block advance together. The model has a fixed size and travels with the function; no shuffle.
 
-A text's language is the one with the largest sum of word posteriors, its score their mean.
+A text's language is the one with the largest sum of word posteriors, its score their mean. The set of
+languages is closed, so a second number tells whether a text is in any of them: its ``familiarity`` is the
+share of its words' n-grams of 3 and 4 bytes that the training windows have, where ``DOUBT`` known n-grams
+are added, so a text of few words needs strong evidence to be called foreign. The bar for it is learned too:
+midway between what nearly all training windows reach by the other windows alone, and what the same
+windows get with the letters of each word shuffled (``Model.bar``).
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0; ties go to the first
 language in sorted order; without training rows every text is ``und``; repeated rows are predicted
 alike; null doc_ids stay null; other columns are dropped (``predict``) or kept (``keep_known``).
@@ -30,6 +36,8 @@ from factloom.llm import textops as X
 
 SIZE = 1 << 15
 UND = "und"
+SEEN = 1 << 20
+DOUBT = 16.0
 _CHUNK = 256
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -58,20 +66,26 @@ class Model:
     moves: np.ndarray  # log weight of the next word's language after this one's
     lexicon: np.ndarray  # sorted hashes of words
     member: np.ndarray  # for each of them the languages whose lexicon holds it
+    seen: np.ndarray  # hashed n-grams of 3 and 4 bytes of the training windows
+    bar: float = 0.0  # the familiarity that texts in a learned language reach
 
-    def features(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of word and feature."""
+    def features(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of word and feature, and pairs of word and n-gram of 3 or 4 bytes."""
         buffer = np.frombuffer(b"".join(b"^" + w.lower() + b"$" for w in words), np.uint8)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 2
         word = np.repeat(np.arange(len(words)), size)
         left = np.repeat(np.cumsum(size), size) - np.arange(len(buffer))  # bytes up to the word's end
         base = X._BYTE[buffer]
         who, what = [np.arange(len(words))], [(hashes >> X.U(40)).astype(np.int64) % SIZE]
+        long_who, long_what = [], []
         for n in (1, 2, 3, 4):
             g = X.grams(base, n)
             ok = left[: len(g)] >= n
             who.append(word[: len(g)][ok])
             what.append((g[ok] >> X.U(33)).astype(np.int64) % SIZE)
+            if n > 2:
+                long_who.append(who[-1])
+                long_what.append((g[ok] >> X.U(44)).astype(np.int64) % SEEN)
         if len(self.lexicon):
             i = np.minimum(np.searchsorted(self.lexicon, hashes), len(self.lexicon) - 1)
             w, lang = np.nonzero(self.member[i] & (self.lexicon[i] == hashes)[:, None])
@@ -79,11 +93,12 @@ class Model:
             what.append(SIZE + lang)
         who.append(np.arange(len(words)))
         what.append(np.full(len(words), SIZE + len(self.langs)))
-        return np.concatenate(who), np.concatenate(what)
+        return np.concatenate(who), np.concatenate(what), np.concatenate(long_who), np.concatenate(long_what)
 
     def scores(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
-        who, what = self.features(words, hashes)
-        return np.stack([np.bincount(who, self.weights[what, i], len(words)) for i in range(len(self.langs))], 1)
+        """A row per word: the score of each language, its n-grams that were seen, and all of them."""
+        who, what, long_who, long_what = self.features(words, hashes)
+        return np.stack([*[np.bincount(who, self.weights[what, i], len(words)) for i in range(len(self.langs))], np.bincount(long_who, self.seen[long_what], len(words)), np.bincount(long_who, minlength=len(words))], 1)
 
 
 def posteriors(score: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -175,7 +190,7 @@ def train(windows: list[tuple[str, list[bytes]]], steps: int = 40, rate: float =
     """Adam on the whole sample, from zero. ``windows``: (language, words), all of one length."""
     langs = sorted({lang for lang, _ in windows})
     if not langs:
-        return Model([], np.zeros((SIZE + 1, 0)), np.zeros((0, 0)), np.zeros(0, X.U), np.zeros((0, 0), bool))
+        return Model([], np.zeros((SIZE + 1, 0)), np.zeros((0, 0)), np.zeros(0, X.U), np.zeros((0, 0), bool), np.zeros(SEEN, bool))
     rng, of = np.random.default_rng(seed), {lang: i for i, lang in enumerate(langs)}
     length = len(windows[0][1])
     windows = [windows[i] for i in rng.permutation(len(windows))]
@@ -190,8 +205,9 @@ def train(windows: list[tuple[str, list[bytes]]], steps: int = 40, rate: float =
     member = (counts >= 3) & (share > 0.5 * share.sum(1, keepdims=True))
     some = np.flatnonzero(member.any(1))
     some = some[np.argsort(hashes[some])]
-    model = Model(langs, np.zeros((SIZE + len(langs) + 1, len(langs))), np.zeros((len(langs),) * 2), hashes[some], member[some])
-    who, what = model.features(words, hashes)
+    model = Model(langs, np.zeros((SIZE + len(langs) + 1, len(langs))), np.zeros((len(langs),) * 2), hashes[some], member[some], np.zeros(SEEN, bool))
+    who, what, *long = model.features(words, hashes)
+    model.bar = _learn_grams(model, words, word.reshape(-1, length), *long, rng)
     m = [np.zeros_like(model.weights), np.zeros_like(model.moves)]
     v = [np.zeros_like(model.weights), np.zeros_like(model.moves)]
     for t in range(1, steps + 1):
@@ -205,6 +221,26 @@ def train(windows: list[tuple[str, list[bytes]]], steps: int = 40, rate: float =
     return model
 
 
+def _learn_grams(model: Model, words: list[bytes], windows: np.ndarray, who: np.ndarray, gram: np.ndarray, rng: np.random.Generator, most: int = 20_000) -> float:
+    """Fills ``model.seen`` from all windows and gives the bar, from ``most`` windows at most."""
+    model.seen[gram] = True
+    some = windows[: most]
+    order = np.argsort(who, kind="stable")
+    gram, size = gram[order], np.bincount(who, minlength=len(words))
+    first = np.cumsum(size) - size
+    flat = some.ravel()
+    at = X.ragged(first[flat], size[flat])
+    window = np.repeat(np.repeat(np.arange(len(some)), some.shape[1]), size[flat])
+    pairs = np.unique(window * SEEN + gram[at])
+    times = np.bincount(pairs % SEEN, minlength=SEEN)
+    known = np.bincount(window, times[gram[at]] > 1) / np.bincount(window)
+    shuffled = ["".join(rng.permutation(list(words[w].decode(errors="replace")))).encode() for w in some[:: max(1, len(some) // 500)].ravel()]
+    _, _, w, g = model.features(shuffled, word_hashes(shuffled))
+    w //= some.shape[1]
+    foreign = np.bincount(w, model.seen[g]) / np.bincount(w)
+    return float((np.quantile(known, 0.005) + np.median(foreign)) / 2)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size)
@@ -229,12 +265,10 @@ def _windows(windows: int, window: int) -> Callable:
     return run
 
 
-def fit(labelled: DataFrame, per_lang: int = 250, max_langs: int | None = None, windows: int = 6, window: int = 24) -> Model:
-    """Learns from the texts and non-null lang of ``labelled`` (doc_id, text, lang); doc_id only picks the sample.
-    ``max_langs``: only so many languages, the most frequent ones (None: all); texts of the others get one of these."""
+def fit(labelled: DataFrame, per_lang: int = 250, windows: int = 6, window: int = 24) -> Model:
+    """Learns all languages from the texts and non-null lang of ``labelled`` (doc_id, text, lang); doc_id only picks the sample."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    ranked = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-    counts = {r[0]: r[1] for r in (ranked if max_langs is None else ranked.limit(max_langs)).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return train([])
     shares = F.from_json(F.lit(json.dumps({lang: min(1.0, per_lang / n) for lang, n in counts.items()})), "map<string, double>")
@@ -247,13 +281,13 @@ def fit(labelled: DataFrame, per_lang: int = 250, max_langs: int | None = None,
 class Tagger:
     def __init__(self, model: Model):
         self.model = model
-        self.memo = X.Memo(len(model.langs), np.float32)
+        self.memo = X.Memo(len(model.langs) + 2, np.float32)
 
-    def words(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end, posteriors of all words, and the first word of each text."""
+    def words(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, posteriors of all words, the first word of each text, and its familiarity."""
         start, end, first = word_spans(data, at)
         if not len(start):
-            return start, end, np.zeros((0, len(self.model.langs))), first
+            return start, end, np.zeros((0, len(self.model.langs))), first, np.ones(len(at) - 1)
         key, where, back = np.unique(X.span_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.memo.keys) + len(key) > self.memo.most:
             self.memo.clear()
@@ -262,18 +296,19 @@ class Tagger:
             words = [data[a:b].tobytes() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
             self.memo.add(key[new], self.model.scores(words, key[new]).astype(np.float32))
         score = self.memo.values[self.memo.find(key)[1]][back]
-        return start, end, posteriors(score.astype(float), self.model.moves, first), first
+        seen, grams = (np.diff(np.concatenate([[0.0], np.cumsum(score[:, i], dtype=float)])[first]) for i in (-2, -1))
+        return start, end, posteriors(score[:, :-2].astype(float), self.model.moves, first), first, (seen + DOUBT) / (grams + DOUBT)
 
-    def texts(self, texts: pa.Array, spans: bool = False) -> tuple[list[str], np.ndarray, list]:
-        """Language and score of each text, and its runs of words of one language (UTF-8 offsets)."""
+    def texts(self, texts: pa.Array, spans: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, list]:
+        """Language, score and familiarity of each text, and its runs of words of one language (UTF-8 offsets)."""
         data, at = X.flat(texts)
         letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[at]
         known = np.diff(letters) > 0
         for row in np.flatnonzero(~known & (np.diff(at) > 0)):
             known[row] = any(c.isalpha() for c in texts[int(row)].as_py())
         if not self.model.langs:
-            return [UND] * len(texts), np.zeros(len(texts)), [[] for _ in range(len(texts))]
-        start, end, post, first = self.words(data, at)
+            return [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts)), [[] for _ in range(len(texts))]
+        start, end, post, first, familiar = self.words(data, at)
         total = np.stack([np.concatenate([[0], np.cumsum(p)])[first] for p in post.T], 1)
         total = np.diff(total, axis=0)
         best = total.argmax(1)
@@ -286,7 +321,7 @@ class Tagger:
                 cut = a + np.flatnonzero(np.diff(label[a:b])) + 1 if b > a else []
                 edges = [a, *cut, b] if b > a and known[row] else []
                 runs.append([{"lang": self.model.langs[label[i]], "start": int(start[i] - at[row]), "end": int(end[j - 1] - at[row])} for i, j in zip(edges[:-1], edges[1:], strict=True)])
-        return [self.model.langs[b] if k else UND for b, k in zip(best, known, strict=True)], score, runs
+        return [self.model.langs[b] if k else UND for b, k in zip(best, known, strict=True)], score, familiar, runs
 
 
 def _predict(model: Model, spans: bool) -> Callable:
@@ -294,9 +329,9 @@ def _predict(model: Model, spans: bool) -> Callable:
         tagger = Tagger(model)
         for batch in batches:
             for block in X.blocks(batch, "text"):
-                lang, score, runs = tagger.texts(block.column("text"), spans)
-                arrays = [block.column("doc_id"), pa.array(lang), pa.array(score)]
-                names = ["doc_id", "lang_pred", "score"]
+                lang, score, familiar, runs = tagger.texts(block.column("text"), spans)
+                arrays = [block.column("doc_id"), pa.array(lang), pa.array(score), pa.array(familiar)]
+                names = ["doc_id", "lang_pred", "score", "familiarity"]
                 if spans:
                     arrays.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))))
                     names.append("spans")
@@ -306,22 +341,23 @@ def _predict(model: Model, spans: bool) -> Callable:
 
 
 def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """doc_id, lang_pred and score of every row of ``docs`` (doc_id, text); with ``spans`` also the
+    """doc_id, lang_pred, score and familiarity of every row of ``docs`` (doc_id, text); with ``spans`` also the
     runs of words of one language, as UTF-8 offsets."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model, spans), "doc_id long, lang_pred string, score double" + ", spans array<struct<lang: string, start: long, end: long>>" * spans)
+    return rows.mapInArrow(_predict(model, spans), "doc_id long, lang_pred string, score double, familiarity double" + ", spans array<struct<lang: string, start: long, end: long>>" * spans)
 
 
-def keep_known(docs: DataFrame, model: Model, langs: list[str] | None = None, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, langs: list[str] | None = None, least: float = 0.5, familiar: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in one of ``langs`` (default: any learned one)
-    with a score of at least ``least``."""
+    with a score of at least ``least`` and a familiarity of at least ``familiar`` (``model.bar`` drops
+    texts in languages that were not learned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         wanted = set(model.langs if langs is None else langs)
         for batch in batches:
             for block in X.blocks(batch, "text"):
-                lang, score, _ = tagger.texts(block.column("text"))
-                yield block.filter(pa.array([x in wanted and s >= least for x, s in zip(lang, score, strict=True)]))
+                lang, score, known, _ = tagger.texts(block.column("text"))
+                yield block.filter(pa.array([x in wanted and s >= least and k >= familiar for x, s, k in zip(lang, score, known, strict=True)]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -127,7 +127,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.expr("coalesce(crc32(cast(doc_id AS string)) % 3 = 1, false)")
     model = fit(docs.where(~held_out).select("doc_id", "text", "lang"))
-    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "familiarity")
 
 
 @query
