@@ -1,9 +1,10 @@
 """The corpus pipeline: from ``documents`` to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the
-last return the columns of ``documents``. Stage by stage: documents without letters go (one in a language
-that was not learned counts as the nearest learned one and stays); documents whose resampling key is below the bar go; of each group of near duplicates the
-one with the smallest id stays; documents that hold a benchmark item go; the rest is packed.
+last return the columns of ``documents``. Stage by stage: documents without letters, or in a language that
+was not learned, go; of the rest, the share that is good among the labelled documents is sampled by quality;
+of each group of near duplicates the one with the smallest id stays; documents that hold a benchmark item
+go; the rest is packed.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from factloom.llm.queries import bpe_path, read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters, and those whose words are spread almost evenly over the learned
-    languages. The set is closed, so a text in another language gets one of them and mostly stays."""
-    return langid.keep_known(docs, langid.fit(docs.select("doc_id", "text", "lang")), least=0.3)
+    """Drops texts without letters, and those less familiar than the bar that training sets for texts
+    in the learned languages."""
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    return langid.keep_known(docs, model, least=0.0, familiar=model.bar)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+    """Keeps a hundredth of the rows more than the labelled share, as good documents are not to be lost."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"), spare=0.01)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
