@@ -1,20 +1,23 @@
 """Language-model scoring: marginal likelihood of texts over a subword lattice.
 
-The pieces are those of an existing unigram-scored vocabulary file. Its scores order the pieces; by Zipf's
-law they become the prior log p = -log(rank + 2.7), bytes (the fallback) coming last, and with them every
-word has a segmentation. All segmentations of a word count: a forward recursion in log space sums
-over the lattice of its pieces. Two rounds of expectation maximization over all distinct training
-words (weight 1 each, ``prior`` pseudo-counts of the prior) fit the pieces to the corpus. A word seen in
-training is an edge of the lattice of its own, with its count less an absolute discount D; the lattice of
-pieces shares the discounted mass: P(w) = max(c - D, 0) / N + D V / N * P_pieces(w). The probabilities of
-all words and the end sum to one.
+A text is a sequence of words and an end; a word is a sequence of pieces of an existing vocabulary. All
+segmentations of a word count: a forward recursion in log space sums over the lattice of its pieces, and
+a text's log probability is the sum over its words and the end. A piece that opens a word closes the one
+before it, so the probabilities of all words and of the end sum to one (some words' pieces could never
+follow each other in the vocabulary's own tokenizer; no mass is lost by that).
+
+Weights of the pieces. No file at hand has unigram scores: those of ``piece_bpe_32k.model`` are ranks of
+merges. They order the pieces, and Zipf's law makes of the order log p = -log(rank + 2.7), bytes (the fallback)
+coming last. With these, the vocabulary's own, ``vocabulary_score`` is the marginal. ``score`` is the marginal with
+weights that were fitted to the training texts: rounds of expectation maximization, each a pass over all distinct
+training words, weighted by how often they occur, with ``prior`` pseudo-counts of the vocabulary's own weights.
 
 Word counts are gathered from all training texts by a shuffle and grow with them. Scoring sends only
 the ``hot`` most frequent words (a fixed number) to the executors; all other words of a document meet their counts in
-a join by hash. Words are keyed by 64-bit hashes.
+a join by hash. Words are keyed by two 64-bit hashes, 128 bits.
 
 Defined cases: a null text is empty and has the end only; a null doc_id is not held out; repeated rows
-are scored each; without training rows N = V = 0, the base score is 0 and the pieces keep the prior; other columns are dropped.
+are scored each; without training rows N = V = 0, the base score is 0 and the pieces keep the vocabulary's weights; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -59,10 +62,9 @@ class Pieces:
             h = (int(h) + int(X._BYTE[b]) * int(X.powers(len(p))[i])) & 0xFFFFFFFFFFFFFFFF
         return int(h)
 
-    @property
-    def end(self) -> float:
+    def end(self, log_p: np.ndarray) -> float:
         """log P(end) among words and end."""
-        return float(self.log_p[-1] - np.logaddexp.reduce(self.log_p[np.append(self.starts, True)]))
+        return float(log_p[-1] - np.logaddexp.reduce(log_p[np.append(self.starts, True)]))
 
     def edges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """start, end and piece of the lattices' edges, ordered by their end's offset in its word; the
@@ -89,21 +91,22 @@ class Pieces:
         order = np.argsort(offset[start + length] * (len(data) + 1) + start + length, kind="stable")
         return start[order], (start + length)[order], piece[order], offset, first
 
-    def forward(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, offset: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def forward(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, offset: np.ndarray, first: np.ndarray, log_p: np.ndarray | None = None) -> np.ndarray:
         alpha = np.full(len(offset), -np.inf)
         alpha[first] = 0
-        return _sweep(alpha, start, end, self.log_p[piece], offset)
+        return _sweep(alpha, start, end, (self.log_p if log_p is None else log_p)[piece], offset)
 
-    def log_words(self, words: list[bytes]) -> np.ndarray:
-        """log P_pieces of each word, over all its segmentations."""
+    def log_words(self, words: list[bytes], *others: np.ndarray) -> np.ndarray:
+        """log P of each word, over all its segmentations; with ``others``, a column for each of these weights as well."""
         if not words:
-            return np.zeros(0)
+            return np.zeros((0, 1 + len(others)) if others else 0)
         start, end, piece, offset, first = self.edges(words)
         last = np.append(first[1:], len(offset)) - 1
-        return self.forward(start, end, piece, offset, first)[last]
+        found = [self.forward(start, end, piece, offset, first, log_p)[last] for log_p in (self.log_p, *others)]
+        return np.stack(found, 1) if others else found[0]
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """The expected number of uses of each piece in one occurrence of each word."""
+    def expected(self, words: list[bytes], times: np.ndarray | None = None) -> np.ndarray:
+        """The expected number of uses of each piece in ``times`` (1) occurrences of each word."""
         start, end, piece, offset, first = self.edges(words)
         alpha = self.forward(start, end, piece, offset, first)
         last = np.append(first[1:], len(offset)) - 1
@@ -115,6 +118,8 @@ class Pieces:
         beta = _sweep(beta, end[order], start[order], self.log_p[piece[order]], back)
         total = np.repeat(alpha[last], size + 1)
         use = np.exp(alpha[start] + self.log_p[piece] + beta[end] - total[start])
+        if times is not None:
+            use *= np.repeat(times, size + 1)[start]
         return np.bincount(piece, use, len(self.names))
 
 
@@ -173,20 +178,22 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(names, prior - np.logaddexp.reduce(prior))
 
 
-def _words(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(block: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Lower-cased bytes, start and end of all words, the first word of each text, and two hashes of each word."""
     data, at = X.flat(block.column("text"))
     start, end, first = X.words(data, at)
-    return X.LOWER[data], start, end, first, X.span_hashes(data, start, end)
+    data = X.LOWER[data]
+    return data, start, end, first, X.span_hashes(data, start, end), X.span_hashes(data ^ np.uint8(0xA5), start, end, lower=False)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in X.blocks(batch, "text", _BLOCK):
-            data, start, end, _, key = _words(block)
+            data, start, end, _, key, second = _words(block)
             if len(key):
                 key, where, n = np.unique(key, return_index=True, return_counts=True)
                 words = [data[a:b].tobytes() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(words, pa.binary()), pa.array(n)], ["hash", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(second[where].view(np.int64)), pa.array(words, pa.binary()), pa.array(n)], ["hash", "second", "word", "n"])
 
 
 def _expect(pieces: Pieces) -> Callable:
@@ -194,7 +201,7 @@ def _expect(pieces: Pieces) -> Callable:
         total = np.zeros(len(pieces.names))
         for batch in batches:
             for i in range(0, batch.num_rows, 20_000):
-                total += pieces.expected([w.as_py() for w in batch.column("word").slice(i, 20_000)])
+                total += pieces.expected([w.as_py() for w in batch.column("word").slice(i, 20_000)], batch.column("n").slice(i, 20_000).to_numpy().astype(float))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"piece": some, "n": total[some]})
 
@@ -204,87 +211,90 @@ def _expect(pieces: Pieces) -> Callable:
 @dataclass
 class Model:
     pieces: Pieces
-    counts: DataFrame  # hash, word, n of every distinct training word
+    vocabulary: np.ndarray  # the log_p of the pieces before training
+    counts: DataFrame | None  # hash, second, word, n of every distinct training word
     tokens: int  # N, with ends
     kinds: int  # V, with the end
     ends: int
-    discount: float
-    hot_keys: np.ndarray
-    hot_counts: np.ndarray
-
-    def log10(self, count: np.ndarray, log_pieces: np.ndarray) -> np.ndarray:
-        if not self.tokens:
-            return log_pieces / math.log(10)
-        return np.log10(np.maximum(count - self.discount, 0) / self.tokens + self.discount * self.kinds / self.tokens * np.exp(log_pieces))
+    hot: np.ndarray  # hash, second and n of the most frequent words, in the order of the hash
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.kinds + 1))
 
 
-def fit(training: DataFrame, vocabulary: str, rounds: int = 2, prior: float = 10_000.0, hot: int = 1 << 17) -> Model:
+def fit(training: DataFrame, vocabulary: str, rounds: int = 3, prior: float = 10_000.0, hot: int = 1 << 17) -> Model:
     """Learns from all texts of ``training`` (text)."""
     texts = training.select(F.col("text").cast("string").alias("text"))
-    counts = scratch.table(texts.where("text IS NOT NULL").mapInArrow(_count, "hash long, word binary, n long").groupBy("hash", "word").agg(F.sum("n").alias("n")), "words")
+    counts = texts.where("text IS NOT NULL").mapInArrow(_count, "hash long, second long, word binary, n long").groupBy("hash", "second", "word").agg(F.sum("n").alias("n"))
+    counts = scratch.table(counts, "words")
     ends = texts.count()
-    words, kinds, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     pieces = load_pieces(vocabulary)
-    start = np.exp(pieces.log_p)
+    own = pieces.log_p
     for _ in range(rounds if kinds else 0):
-        use = prior * start
-        for r in counts.select("word").mapInArrow(_expect(pieces), "piece long, n double").groupBy("piece").agg(F.sum("n")).collect():  # a row a piece
+        use = prior * np.exp(own)
+        for r in counts.select("word", "n").mapInArrow(_expect(pieces), "piece long, n double").groupBy("piece").agg(F.sum("n")).collect():  # a row a piece
             use[r[0]] += r[1]
-        use[-1] += 1
+        use[-1] += ends
         pieces = Pieces(pieces.names, np.log(use / use.sum()))
-    top = np.array(sorted((r.hash, r.n) for r in scratch.most_frequent(counts, "n", hot).select("hash", "n").collect()), np.int64).reshape(-1, 2)
-    keys = top[:, 0].view(np.uint64) if top[:, 0].flags.c_contiguous else np.ascontiguousarray(top[:, 0]).view(np.uint64)
-    order = np.argsort(keys)
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    return Model(pieces, counts, words + ends, kinds + (ends > 0), ends, discount, keys[order], top[order, 1])
+    top = np.array(sorted((r.hash, r.second, r.n) for r in scratch.most_frequent(counts, "n", hot).select("hash", "second", "n").collect()), np.int64).reshape(-1, 3)
+    return Model(pieces, own, counts, words + ends, kinds + (ends > 0), ends, top[np.argsort(np.ascontiguousarray(top[:, 0]).view(X.U))])
 
 
-_ROWS = "uid long, word boolean, hash long, n long, log_pieces double, known long, base double, score double"
+_ROWS = "uid long, doc_id long, held boolean, hash long, second long, n long, known long, base double, score double, own double"
 
 
 def _score(model: Model) -> Callable:
-    pieces, hot_keys, hot_counts, ends = model.pieces, model.hot_keys, model.hot_counts, model.ends
-    tokens = Model(pieces, None, model.tokens, model.kinds, ends, model.discount, hot_keys, hot_counts)
-    end = np.array([float(ends)])
-    end_base, end_score = float(tokens.base(end)[0]), float(tokens.log10(end, np.array([pieces.end]))[0])
+    """A row with the sums of each text, and one for each of its words whose count is not at hand."""
+    pieces, own, ends = model.pieces, model.vocabulary, model.ends
+    sizes = Model(pieces, own, None, model.tokens, model.kinds, ends, model.hot)
+    hot_key, hot_second = (np.ascontiguousarray(model.hot[:, i]).view(X.U) for i in (0, 1))
+    hot_count = model.hot[:, 2]
+    end_base = float(sizes.base(np.array([float(ends)]))[0]) if model.tokens else 0.0
+    end = np.array([pieces.end(pieces.log_p), pieces.end(own)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = X.Memo(1, np.float64)
+        memo = X.Memo(2, np.float64)
         for batch in batches:
             for block in X.blocks(batch, "text", _BLOCK):
-                data, start, stop, first, key = _words(block)
+                data, start, stop, first, key, second = _words(block)
                 rows = block.num_rows
                 key, where, back = np.unique(key, return_index=True, return_inverse=True)
+                second = second[where]
                 if len(memo.keys) + len(key) > memo.most:
                     memo.clear()
                 new = np.flatnonzero(~memo.find(key)[0])
                 for i in range(0, len(new), 20_000):
                     some = new[i : i + 20_000]
-                    memo.add(key[some], pieces.log_words([data[a:b].tobytes() for a, b in zip(start[where[some]].tolist(), stop[where[some]].tolist(), strict=True)])[:, None])
-                log_pieces = memo.values[memo.find(key)[1], 0] if len(key) else np.zeros(0)
-                i = np.minimum(np.searchsorted(hot_keys, key), max(0, len(hot_keys) - 1))
-                hot = hot_keys[i] == key if len(hot_keys) else np.zeros(len(key), bool)
-                count = np.where(hot, hot_counts[i], 0) if len(hot_keys) else np.zeros(len(key))
+                    memo.add(key[some], pieces.log_words([data[a:b].tobytes() for a, b in zip(start[where[some]].tolist(), stop[where[some]].tolist(), strict=True)], own))
+                log_p = memo.values[memo.find(key)[1]] if len(key) else np.zeros((0, 2))
                 row = np.repeat(np.arange(rows), np.diff(first))
+                score, by_own = ((np.bincount(row, log_p[back, i], rows) + end[i]) / math.log(10) for i in (0, 1))
+                count, hot = np.zeros(len(key)), np.zeros(len(key), bool)
+                if len(hot_key):
+                    i = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
+                    hot = (hot_key[i] == key) & (hot_second[i] == second)
+                    count = np.where(hot, hot_count[i], 0)
                 is_hot = hot[back]
-                sums = [np.bincount(row[is_hot], x[back[is_hot]], rows) for x in (np.ones(len(key)), tokens.base(count), tokens.log10(count, log_pieces))]
-                uid = block.column("uid").to_numpy()
+                known = np.bincount(row[is_hot], minlength=rows) + (ends > 0)
+                base = (np.bincount(row[is_hot], sizes.base(count)[back[is_hot]], rows) if sizes.tokens else np.zeros(rows)) + end_base
                 cold, n = np.unique(row[~is_hot] * len(key) + back[~is_hot], return_counts=True)
                 at, word = (cold // len(key), cold % len(key)) if len(key) else (cold, cold)
-                k, m = len(cold), (ends > 0)
+                k, uid = len(cold), block.column("uid").to_numpy()
+                pad = lambda x: np.concatenate([x, np.zeros(k, x.dtype)])
+                head = np.arange(rows + k) < rows
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([uid, uid[at]])),
-                        pa.array(np.arange(rows + k) >= rows),
-                        pa.array(np.concatenate([X.mix(uid.astype(X.U)).view(np.int64), key[word].view(np.int64)])),  # rows without a word are dealt evenly
+                        pa.concat_arrays([block.column("doc_id"), pa.nulls(k, pa.int64())]),
+                        pa.concat_arrays([block.column("held"), pa.nulls(k, pa.bool_())]),
+                        pa.array(np.concatenate([X.mix(uid.astype(X.U)).view(np.int64), key[word].view(np.int64)])),  # rows of texts are dealt evenly
+                        pa.array(np.concatenate([np.zeros(rows, np.int64), second[word].view(np.int64)]), mask=head),  # and match no word
                         pa.array(np.concatenate([np.diff(first) + 1, n])),
-                        pa.array(np.concatenate([np.zeros(rows), log_pieces[word]])),
-                        pa.array(np.concatenate([sums[0].astype(np.int64) + m, np.zeros(k, np.int64)])),
-                        pa.array(np.concatenate([sums[1] + end_base, np.zeros(k)])),
-                        pa.array(np.concatenate([sums[2] + end_score, np.zeros(k)])),
+                        pa.array(pad(known)),
+                        pa.array(pad(base)),
+                        pa.array(pad(score)),
+                        pa.array(pad(by_own)),
                     ],
                     [c.split()[0] for c in _ROWS.split(", ")],
                 )
@@ -293,20 +303,20 @@ def _score(model: Model) -> Callable:
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
-    parts = rows.select("uid", "text").mapInArrow(_score(model), _ROWS)
-    count = F.coalesce(F.col("c"), F.lit(0))
-    lattice = F.exp("log_pieces") * F.lit(model.discount * model.kinds / model.tokens if model.tokens else 1.0)
-    seen = F.greatest(count - F.lit(model.discount), F.lit(0.0)) / F.lit(float(max(1, model.tokens)))
-    word = F.col("word")
-    met = parts.join(model.counts.select("hash", F.col("n").alias("c")), "hash", "left").select(
-        "uid",
-        F.when(word, 0).otherwise(F.col("n")).alias("n_tokens"),
-        F.when(word, F.when(count > 0, F.col("n")).otherwise(0)).otherwise(F.col("known")).alias("n_known"),
-        F.when(word, F.col("n") * F.log10((count + 1) / F.lit(float(model.tokens + model.kinds + 1)))).otherwise(F.col("base")).alias("base_score"),
-        # very long words underflow in linear space; unseen ones stay in log space
-        F.when(word, F.col("n") * F.when(seen > 0, F.log10(seen + lattice)).otherwise(F.col("log_pieces") / math.log(10) + math.log10(model.discount * model.kinds / model.tokens if model.tokens else 1.0))).otherwise(F.col("score")).alias("score"),
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and vocabulary_score of every
+    row of ``docs`` (doc_id, text). What a row needs travels with its number, so no step numbers rows again."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"), F.monotonically_increasing_id().alias("uid"))
+    parts = rows.mapInArrow(_score(model), _ROWS)
+    met = parts.join(model.counts.select("hash", "second", F.col("n").alias("c")), ["hash", "second"], "left")
+    word, count = F.col("held").isNull(), F.coalesce(F.col("c"), F.lit(0))
+    base = F.log10((count + 1) / F.lit(float(model.tokens + model.kinds + 1))) if model.tokens else F.lit(0.0)
+    sums = met.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("held").alias("held_out"),
+        F.sum(F.when(word, 0).otherwise(F.col("n"))).alias("n_tokens"),
+        F.sum(F.when(~word, F.col("known")).when(count > 0, F.col("n")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(word, F.col("n") * base).otherwise(F.col("base"))).alias("base_score"),
+        F.max(F.when(~word, F.col("score"))).alias("score"),
+        F.max(F.when(~word, F.col("own"))).alias("vocabulary_score"),
     )
-    sums = met.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return rows.select("uid", "doc_id").join(sums, "uid").select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "vocabulary_score")

@@ -56,13 +56,13 @@ def brute(docs, held, model):
             c.update(words(t))
             ends += 1
     n, v = sum(c.values()) + ends, len(c) + (ends > 0)
-    p = model.pieces
     for i, t in docs:
+        if len(t) >= 3000:
+            continue
         w = words(t)
-        logs = [plain(x.encode(), p.log_p) for x in w] + [p.end]
         counts = [c[x] for x in w] + [ends]
-        mixed = [math.log10(max(k - model.discount, 0) / n + model.discount * v / n * math.exp(g)) if n else g / math.log(10) for k, g in zip(counts, logs, strict=True)]
-        yield i, len(w) + 1, sum(k > 0 for k in counts), n, sum(math.log10((k + 1) / (n + v + 1)) for k in counts), sum(mixed)
+        scores = [(sum(plain(x.encode(), log_p) for x in w) + model.pieces.end(log_p)) / math.log(10) for log_p in (model.pieces.log_p, model.vocabulary)]
+        yield i, len(w) + 1, sum(k > 0 for k in counts), n, sum(math.log10((k + 1) / (n + v + 1)) for k in counts), *scores
 
 
 def test_query_against_plain_code(spark, small):
@@ -71,13 +71,35 @@ def test_query_against_plain_code(spark, small):
     model = M.fit(table.where(~held), VOCABULARY, hot=300)
     got = {r.doc_id: r for r in M.score(table, model, held).collect()}
     whole = {r.doc_id: r for r in op6_lm_scoring(spark, small).collect()}
-    docs = [(r.doc_id, r.text) for r in table.where("length(text) < 3000").limit(40).collect()]
     everything = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
-    want = {x[0]: x for x in brute(everything, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, model) if x[0] in dict(docs)}
-    for i, n_tokens, known, n, base, score in want.values():
+    assert len(got) == len(whole) == len(everything)
+    want = list(brute(everything, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, model))
+    assert len(want) > 100
+    for i, n_tokens, known, n, base, score, own in want:
         for r in (got[i], whole[i]):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, n_tokens, known, n)
-            assert abs(r.base_score - base) < 1e-6 * abs(base) and abs(r.score - score) < 1e-6 * abs(score)
+            assert abs(r.base_score - base) < 1e-6 * abs(base) and abs(r.score - score) < 1e-6 * abs(score) and abs(r.vocabulary_score - own) < 1e-6 * abs(own)
+
+
+def test_training_fits_texts_and_the_sum_over_words_is_one(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    held = F.expr("crc32(cast(doc_id AS string)) % 7 = 2")
+    model = M.fit(table.where(~held), VOCABULARY)
+    rows = M.score(table, model, held).where("held_out").agg(F.sum("score"), F.sum("vocabulary_score")).first()
+    assert rows[0] > rows[1]
+    for log_p in (model.pieces.log_p, model.vocabulary):
+        p, starts = np.exp(log_p), np.append(model.pieces.starts, False)
+        opens, inner, end = p[starts].sum(), p[:-1][~model.pieces.starts].sum(), p[-1]
+        # words: an opening piece and any number of inner ones; then the end
+        assert abs(opens / (1 - inner) + math.exp(model.pieces.end(log_p)) - 1) < 1e-9
+
+
+def test_rows_of_an_input_that_changes_its_order_keep_their_scores(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    model = M.fit(table, VOCABULARY)
+    plain_rows = {r.doc_id: r.score for r in M.score(table, model, F.lit(False)).collect()}
+    dealt = {r.doc_id: r.score for r in M.score(table.repartition(5, F.rand()), model, F.lit(False)).collect()}
+    assert plain_rows.keys() == dealt.keys() and all(abs(plain_rows[i] - dealt[i]) < 1e-9 for i in dealt)
 
 
 @pytest.mark.parametrize("train", [True, False])
