@@ -1,7 +1,10 @@
+import math
 import re
 
+import numpy as np
 import pytest
 
+from factloom.llm import textops as X
 from factloom.llm import urls as U
 from factloom.llm.queries import RULES, op3_url_filter
 
@@ -14,6 +17,20 @@ def rule_of(host, path):
     return best or (None, None)
 
 
+def plain_chance(weights, bias, host, path):
+    """P(block), n-gram by n-gram; only the hash of an n-gram is the module's."""
+    found = {}
+    for salt, text, weight in ((1, f"^{host.rsplit('.', 1)[0]}$", 1.0), (2, path, 0.15)):
+        raw = text.encode()
+        for n in (3, 4, 5):
+            for i in range(len(raw) - n + 1):
+                g = X.grams(X._BYTE[np.frombuffer(raw[i : i + n], np.uint8)], n)
+                k = int(X.mix(g + X.U(salt))[0] >> X.U(48)) % U.SIZE
+                found[k] = found.get(k, 0.0) + weight
+    norm = math.sqrt(sum(v * v for v in found.values())) or 1.0
+    return 1 / (1 + math.exp(-bias - sum(v * weights[k] for k, v in found.items()) / norm))
+
+
 def test_every_page_by_plain_rules(spark, small):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     rows = op3_url_filter(spark, small).collect()
@@ -22,15 +39,37 @@ def test_every_page_by_plain_rules(spark, small):
     for r in rows:
         host, path = U.split_url(pages[r.page_id])
         rule, verdict = rule_of(host, path)
-        z = bias + sum(v * weights[k] for k, v in U.features(host, path).items())
-        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or ("block" if z >= 0 else "allow"))
+        p = plain_chance(weights, bias, host, path)
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or ("block" if p >= 0.5 else "allow")) and abs(r.p_block - p) < 1e-9
+
+
+NAMES = re.compile("casino-win|free-bets|spam-farm|cheap-pills|ads-track|adult-x")
+
+
+def test_no_address_to_judge_stands_in_the_table(spark):
+    hosts = {U.split_url(r.url)[0] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    rows = U.LABELLED + U.HELD_URLS
+    assert not any(U.split_url(u)[0] in hosts or NAMES.search(u) for u, _ in rows)
+    assert not {u for u, _ in U.LABELLED} & {u for u, _ in U.HELD_URLS}
+
+
+def test_held_out_precision_and_recall(spark):
+    rows = U.judge(spark.createDataFrame(list(enumerate(u for u, _ in U.HELD_URLS)), "page_id long, url string")).collect()
+    block = {r.page_id for r in rows if r.verdict == "block"}
+    unwanted = {i for i, (_, y) in enumerate(U.HELD_URLS) if y}
+    assert block <= unwanted and len(block) >= 0.7 * len(unwanted)
 
 
 def test_the_model_tells_unwanted_hosts(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    bad = re.compile("casino|bets|spam|pills|adult|ads-")
-    rows = U.judge(pages).collect()
-    assert {r.verdict for r in rows if bad.search(r.host)} == {"block"} and {r.verdict for r in rows if not bad.search(r.host)} == {"allow"}
+    rows = U.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    assert {r.verdict for r in rows if NAMES.search(r.host)} == {"block"} and {r.verdict for r in rows if not NAMES.search(r.host)} == {"allow"}
+
+
+def test_repeated_and_very_long_urls_and_ties_of_rules(spark):
+    long = "http://casino.test/" + "a/" * 200_000
+    rows = U.judge(spark.createDataFrame([(1, long), (1, long), (2, "http://x.ab.c/de")], "page_id long, url string"), [("ab.c", "/d", "block"), ("c", "/de", "allow"), ("x.ab.c", "/", "allow")]).collect()
+    assert [r.path for r in rows[:2]] == ["/" + "a/" * 200_000] * 2 and rows[0] == rows[1]
+    assert (rows[2].rule, rows[2].verdict) == ("x.ab.c/", "allow")
 
 
 @pytest.mark.parametrize(
