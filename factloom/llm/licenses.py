@@ -2,11 +2,13 @@
 
 A multinomial logistic regression on the presence of word n-grams (1 and 2 words) tells licence
 families from each other and from other text. It is fitted on the driver from a small fixed table:
-phrases that name a licence, notices (``TEMPLATES``) whole and in pieces, and ordinary sentences. All
-n-grams of the licence texts are features. Those that ordinary sentences have too may speak against all
+phrases that name a licence, notices in words of our own (``NOTICES``) whole and in pieces, and ordinary sentences.
+The licences' own wording (``TEMPLATES``) is not learned from; it serves the comparison, with the licences' names,
+which stand in both, as a licence has one name. All n-grams of the licence texts are features. Those that ordinary sentences have too may speak against all
 families alike, never for one; so a paragraph without any other (``Model.anchors``) gets "none" at least as
 surely as an empty one, and is passed over early without a loss. Held-out phrases set a temperature,
-and with phrases of other licences the probability under which a family becomes ``unknown``. A
+and with phrases of licences of no family (``OTHER``) the probability under which a family becomes ``unknown``;
+``HELD_FRAMES``, ``HELD_OTHER`` and ``HELD_ORDINARY`` are used by no step and measure the result. A
 prediction is confirmed if enough of the paragraph's word pairs that are anchors or hold a cue (a
 licence word that no ordinary sentence has) stand in the family's templates.
 
@@ -54,7 +56,24 @@ NAMES: dict[str, list[str]] = {
 }
 #: where names stand
 FRAMES = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the terms of the {}.", "This software is available under the {}.", "The code is covered by the {}.", "License: {}", "SPDX-License-Identifier: {}", "{}"]
-#: opening and characteristic sentences of notices (public knowledge)
+#: what notices say, in words of our own, to learn from
+NOTICES: dict[str, list[str]] = {
+    "Apache": ["This file comes under the Apache License, Version 2.0; use of this file is only in compliance with the Apache License.", "A copy of the License: http://www.apache.org/licenses/", "you may not use this file except as the License says", "may obtain a copy of the License at"],
+    "MIT": ["Permission is hereby granted, free of charge, to anybody with a copy of this software", "granted, free of charge, to any person", "any person obtaining a copy of this software", "this software and associated documentation files", "to deal in the Software without restriction or limit"],
+    "GPL": ["This program is free software and you can redistribute it under the GNU General Public License of the Free Software Foundation.", "free software: you can redistribute it and/or modify it", "General Public License as published by the Free Software Foundation", "you may redistribute the program under the terms of the GNU General Public License"],
+    "LGPL": ["This library is free software under the GNU Lesser General Public License.", "redistribute this library and/or modify it under the GNU Lesser General Public License", "the library under the terms of the GNU Lesser General Public License"],
+    "AGPL": ["This program is free software under the GNU Affero General Public License.", "redistribute it under the terms of the GNU Affero General Public License as published"],
+    "BSD": ["Redistribution in source and binary forms is permitted provided that these conditions are met.", "Redistribution and use in source or binary form with or without modification", "source and binary forms, with or without modification, are permitted", "permitted provided that the following conditions", "Redistributions of source code must retain this list of conditions"],
+    "MPL": ["This Source Code Form is under the Mozilla Public License, v. 2.0.", "Source Code Form is subject to the Mozilla Public License"],
+    "ISC": ["Permission to use, copy, modify or distribute this software is hereby granted for any purpose", "Permission to use, copy, modify, and/or distribute", "software for any purpose with or without fee", "distribute this software for any purpose"],
+    "Unlicense": ["This software is free and unencumbered and in the public domain.", "unencumbered software in the public domain", "free and unencumbered software released into the public"],
+    "CC0": ["The author has waived copyright and related or neighboring rights under CC0.", "waived all copyright and related rights to this work", "neighboring rights to this work under CC0", "To the extent possible under law the author waived all rights"],
+    "CC-BY": ["This text is licensed under a Creative Commons Attribution License, 4.0 International.", "Creative Commons Attribution 4.0"],
+    "CC-BY-SA": ["This text is licensed under a Creative Commons Attribution-ShareAlike License.", "Creative Commons Attribution-ShareAlike 4.0"],
+    "CC-BY-NC": ["This text is licensed under a Creative Commons Attribution-NonCommercial License.", "Creative Commons Attribution-NonCommercial 4.0"],
+    "Proprietary": ["All rights reserved.", "All rights reserved by the owner.", "Unauthorized copying of this file is prohibited.", "Unauthorized copying, via any medium, is strictly prohibited", "Proprietary and confidential", "Copyright 2020 Some Corporation, all rights reserved", "copying of this file is strictly prohibited"],
+}
+#: opening and characteristic sentences of the licences themselves (public knowledge), to compare with
 TEMPLATES: dict[str, list[str]] = {
     "Apache": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
@@ -87,6 +106,10 @@ Read version 2.0, version 3.0, version 4.0, version 1.0, v2.0, v 2, 2.1, 3.0, 4.
 #: licences of no family to learn from, in frames, and phrases that many families share: they speak for all families alike
 SHARED = ["Eclipse Public License 2.0", "Common Public License 1.0", "Sun Public License", "Public License", "Boost Software License 1.0", "zlib License", "PostgreSQL License", "Academic Free License", "Sample Public Licence", "license of its authors", "license in that file", "license", "Sample Free Licence 1.1"]
 COMMON = ["Permission is hereby granted.", "Read the license.", "The license has details.", "The licence is here.", "This is licensed."]
+#: used by no step of the training: frames, licences of no family, and sentences with words of licences
+HELD_FRAMES = ["This project uses the {}.", "See the file COPYING for the {}.", "It is published under the {} by its authors.", "The sources fall under the {}; see there.", "(c) 2019 the authors, {}"]
+HELD_OTHER = ["Licensed under the Eiffel Forum License.", "Released under the Ruby License.", "Licensed under the Vim License.", "This work is licensed under the Q Public License.", "Released under the Academic Free Licence 3.0.", "Distributed under the terms of the CeCILL licence.", "Licensed under the Open Font License.", "Released under the Beerware licence.", "This software is available under the Python Software Foundation License.", "Licensed under the Microsoft Reciprocal License."]
+HELD_ORDINARY = ["Her driving licence was renewed in March.", "The pub lost its license to sell beer.", "They have the right to use the road.", "He took poetic license with the story.", "Please copy the file to the other disk.", "The public library is free on Sundays.", "Apache helicopters flew over the town.", "The school grants permission to leave early.", "MIT researchers met in Boston.", "The general public was not amused.", "Redistribution of wealth was the topic.", "Mozilla opened a new office.", "A fishing license costs ten dollars.", "The source of the river is in the hills.", "All the seats were reserved for members."]
 #: licences of no family, to set the bar for unknown
 OTHER = ["Licensed under the Example Public License 1.1.", "Released under the Open Gaming License.", "Licensed under the European Union Public Licence.", "Distributed under the Artistic License.", "This work is licensed under the Zope License.", "Licensed under a license that we wrote.", "See the license for details."]
 
@@ -138,12 +161,12 @@ def train(steps: int = 300, rate: float = 2.0, l2: float = 2e-4, small: float =
     rows = [(f.format(n), k) for k, ns in NAMES.items() for n in ns for f in FRAMES]
     held = [r for i, r in enumerate(rows) if i % 5 == 3]
     ordinary = [s for line in ORDINARY for s in re.split(r"[.;] ", line)]
-    rows = [r for i, r in enumerate(rows) if i % 5 != 3] + [(t, k) for k, ts in TEMPLATES.items() for t in ts] * 2
-    rows += [(piece, k) for k, ts in TEMPLATES.items() for t in ts for piece in pieces(t)] + [(piece, k) for k, ts in TEMPLATES.items() for t in ts for piece in re.split(r"[.;] ", t)] * 2
+    rows = [r for i, r in enumerate(rows) if i % 5 != 3] + [(t, k) for k, ts in NOTICES.items() for t in ts] * 2
+    rows += [(piece, k) for k, ts in NOTICES.items() for t in ts for piece in pieces(t)]
     rows += [(f.format(n), UNKNOWN) for n in SHARED for f in FRAMES] + [(t, UNKNOWN) for t in COMMON] * 6
     classes = [*NAMES, NONE]
     plain = {g for t in [*ORDINARY, *ordinary] for g in grams(words(t))}
-    names = sorted({g for t, _ in rows for g in grams(words(t))} | {g for ts in TEMPLATES.values() for t in ts for g in grams(words(t))})
+    names = sorted({g for t, _ in rows for g in grams(words(t))})
     cues = {g for g in names if " " not in g} - plain
     rows = [(t, k) for t, k in rows if not grams(words(t)) <= plain] + [(t, NONE) for t in [*ORDINARY, *ordinary]] * 3
     held += [(t, NONE) for t in ordinary]
@@ -176,7 +199,7 @@ def train(steps: int = 300, rate: float = 2.0, l2: float = 2e-4, small: float =
     if np.exp((b[:-1] - b[-1]) / temperature).sum() > 1:
         raise ValueError("an empty paragraph is not told from a licence")
     anchors = [g for g, i in at.items() if w[i, :-1].max() > w[i, -1]]
-    templates = {c: sorted({g for t in TEMPLATES[c] + [f.format(n) for n in NAMES[c] for f in FRAMES] for g in grams(words(t)) if " " in g}) for c in NAMES}
+    templates = {c: sorted({g for t in TEMPLATES[c] + [f"under the {n}" for n in NAMES[c]] + [f"under {n}" for n in NAMES[c]] for g in grams(words(t)) if " " in g}) for c in NAMES}
     return Model(classes, {g: w[i].tolist() for g, i in at.items() if w[i].any()}, b.tolist(), sorted(cues), anchors, temperature, least, templates)
 
 

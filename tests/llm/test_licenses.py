@@ -82,3 +82,28 @@ def test_wrapped_notices_are_judged_whole(spark, model, width):
 def test_lines_of_a_list_stay_apart(spark, model):
     docs = spark.createDataFrame([(1, "License: MIT License\nLicense: BSD License\nand more\n\nx")], "doc_id long, text string")
     assert {(r.paragraph, r.family) for r in L.scan(docs, model).collect()} >= {(0, "MIT"), (1, "BSD")}
+
+
+def test_templates_are_not_learned_from():
+    learned = {t for ts in L.NOTICES.values() for t in ts} | {f.format(n) for ns in L.NAMES.values() for n in ns for f in L.FRAMES}
+    official = {t for ts in L.TEMPLATES.values() for t in ts}
+    assert not official & learned and not set(L.HELD_FRAMES) & set(L.FRAMES) and not set(L.HELD_OTHER) & set(L.OTHER)
+
+
+def test_held_out_recall_and_precision(spark, model):
+    known = [(f.format(n), k) for k, ns in L.NAMES.items() for n in ns for f in L.HELD_FRAMES]
+    rows = known + [(t, L.UNKNOWN) for t in L.HELD_OTHER] + [(t, L.NONE) for t in L.HELD_ORDINARY]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.family for r in L.scan(docs, model).collect()}
+    right = sum(got.get(i) == k for i, (_, k) in enumerate(known))
+    named = [i for i, k in got.items() if k != L.UNKNOWN]
+    assert right >= 0.97 * len(known)
+    assert sum(got[i] == rows[i][1] for i in named) >= 0.97 * len(named)
+    assert sum(got.get(i) == L.UNKNOWN for i, (_, k) in enumerate(rows) if k == L.UNKNOWN) >= 0.7 * len(L.HELD_OTHER)
+    assert sum(i not in got for i, (_, k) in enumerate(rows) if k == L.NONE) >= 0.8 * len(L.HELD_ORDINARY)
+
+
+def test_a_very_long_paragraph_with_a_notice(spark, model):
+    filler = " ".join(f"lorem{i % 911}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, filler + " " + L.TEMPLATES["MIT"][0] + " " + filler), (2, filler)], "doc_id long, text string")
+    assert [(r.doc_id, r.paragraph, r.family) for r in L.scan(docs, model).collect()] == [(1, 0, "MIT")]
