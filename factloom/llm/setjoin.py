@@ -16,7 +16,9 @@ in full, block by block. Pairs pass a bound on the difference (counts of shingle
 are one node from the start. Links are joined to components by star contraction.
 
 The hot list (``hot_keys`` most frequent subsets) and the filter of needed texts are of bounded size and
-change cost only, never the result. Sets are identified by 64-bit hashes.
+change cost only, never the result; a filter that would be too full is replaced by a join. A subset of more than
+``HOT_ROWS`` sets is dealt to several tasks by node. Sets are identified by 64-bit hashes: of n different sets some
+n * n / 2**65 pairs are taken for equal (one in a million runs at 10**7 sets, one or two pairs at 10**10).
 
 Defined cases: null texts and texts without words have the empty set, n_shingles 0, and are linked with
 nothing; repeated rows and equal sets share a component, and each row is returned; a null doc_id stays null and never
@@ -37,6 +39,8 @@ from factloom.llm import scratch
 from factloom.llm import textops as X
 
 U = X.U
+FILTER_BITS = 1 << 24
+HOT_ROWS = 1 << 16  # of a subset that go to one task; more are dealt by node as well
 SMALL = 32  # sets in a bucket that gives all its pairs; subsets that more sets have are hot
 MOST_BITS = 14  # of classes of hashes
 _PARTNERS = 256  # of a pivot that go to one task
@@ -121,10 +125,14 @@ def _nodes(n: int) -> Callable:
     return run
 
 
-def bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bit for each distinct value of the first column, by its low bits; 2 MB at most."""
+def bitmap(nodes: DataFrame) -> np.ndarray | None:
+    """A bit for each distinct value of the first column, by its low bits; None if ``FILTER_BITS`` (2 MB)
+    are not 8 for each value, as a fuller filter would let nearly all pass."""
     col = nodes.columns[0]
-    size = 1 << min(24, max(12, (16 * nodes.count()).bit_length()))
+    size = 1 << max(12, (16 * nodes.count()).bit_length())
+    if size > 2 * FILTER_BITS:
+        return None
+    size = min(size, FILTER_BITS)
     bits = np.zeros(size // 64, np.int64)
     words = nodes.groupBy(F.shiftright(F.col(col).bitwiseAND(F.lit(size - 1)), 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({col} & 63 AS int))")))
     for w, x in words.collect():
@@ -172,7 +180,7 @@ def _similar_bound(percent: int) -> Callable:
     return run
 
 
-def _texts(n: int, bits: np.ndarray) -> Callable:
+def _texts(n: int, bits: np.ndarray | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for block, sets in _sets(n)(batches):
@@ -180,7 +188,7 @@ def _texts(n: int, bits: np.ndarray) -> Callable:
             for i, s in enumerate(sets):
                 if len(s):
                     node = node_id(s)
-                    if _bit(bits, node) and node not in seen:
+                    if (bits is None or _bit(bits, node)) and node not in seen:
                         seen.add(node)
                         keep.append(i)
                         nodes.append(node)
@@ -275,10 +283,24 @@ class Join:
         frequent = scratch.table(counts.where(F.col("c") > SMALL), "frequent")
         top = scratch.most_frequent(frequent, "c", self.hot_keys).select("sig").collect()
         hot = np.sort(np.array([r[0] for r in top], np.int64).view(U))
-        published = self.text.mapInArrow(_publish(self.n, self.percent, hot), kind).repartition("sig").dropDuplicates(["sig", "node"])
-        whole = "OVER (PARTITION BY sig)"
-        found = published.selectExpr("*", f"count(*) {whole} AS size", f"min(node) {whole} AS low", f"max(node) {whole} AS high")
-        return scratch.table(found.where("low < high").drop("high"), "buckets")
+        published = self.text.mapInArrow(_publish(self.n, self.percent, hot), kind)
+        busy = frequent.where(F.col("c") > HOT_ROWS).selectExpr("sig", f"cast(ceil(c / {HOT_ROWS}) AS long) AS salts")
+        some = not busy.isEmpty()
+        if not some:
+            published = published.withColumn("salts", F.lit(1).cast("long"))
+        else:  # 1 in HOT_ROWS rows at most
+            published = published.join(F.broadcast(busy) if busy.count() <= HOT_ROWS else busy, "sig", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
+        published = published.withColumn("salt", F.pmod("node", "salts")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
+        part = "OVER (PARTITION BY sig, salt)"
+        found = published.selectExpr("sig", "node", "n", "salts > 1 AS dealt", f"count(*) {part} AS size", f"min(node) {part} AS low", f"max(node) {part} AS high")
+        found = scratch.table(found.where("dealt OR low < high"), "buckets")
+        scratch.drop(frequent)
+        whole = found.where("NOT dealt").drop("dealt", "high")
+        if not some:
+            return whole
+        dealt = found.where("dealt").select("sig", "node", "n")
+        sizes = dealt.groupBy("sig").agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1")
+        return whole.union(dealt.join(sizes, "sig").select("sig", "node", "n", "size", "low"))
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b), a < b, that no cheap bound excludes."""
@@ -288,7 +310,11 @@ class Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar, by their whole texts."""
         ends = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
-        texts = self.text.mapInArrow(_texts(self.n, bitmap(ends)), "node long, text string").groupBy("node").agg(F.first("text").alias("text"))
+        bits = bitmap(ends)
+        texts = self.text.mapInArrow(_texts(self.n, bits), "node long, text string")
+        if bits is None:
+            texts = texts.join(ends.withColumnRenamed("a", "node"), "node", "left_semi")
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
         texts = scratch.table(texts, "texts")
         salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / _PARTNERS).cast("long").alias("salts"))
         salted = pairs.join(salts, "a").select("a", "b", F.pmod("b", "salts").alias("salt"))
@@ -325,10 +351,16 @@ class Join:
         return labels
 
     def apart(self, rows: DataFrame) -> DataFrame:
-        """Plausible pairs with different labels in buckets, whose rows meet block by block."""
+        """Plausible pairs with different labels in buckets. The rows of a bucket's most frequent label are
+        dealt to blocks that never meet each other; the other rows' blocks meet all blocks."""
         buckets = rows.groupBy("node").agg(F.collect_list("sig").alias("sigs"))  # no more than the set has published
-        rows = rows.join(buckets, "node").join(self.profile.select("node", "classes"), "node").withColumn("blocks", F.ceil(F.col("size") / _ROWS_IN_BLOCK).cast("long"))
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        most = rows.groupBy("sig", "label").count().groupBy("sig").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("total"))
+        blocks = lambda c: F.greatest(F.ceil(c / _ROWS_IN_BLOCK), F.lit(1)).cast("long")
+        most = most.select("sig", F.col("top.label").alias("top"), blocks(F.col("top.count")).alias("large"), blocks(F.col("total") - F.col("top.count")).alias("rest"))
+        rows = rows.join(most, "sig").join(buckets, "node").join(self.profile.select("node", "classes"), "node")
+        top, hashed = F.col("label") == F.col("top"), F.xxhash64("node")
+        rows = rows.withColumn("block", F.when(top, F.pmod(hashed, "large")).otherwise(F.col("large") + F.pmod(hashed, "rest")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.when(top, F.col("large")).otherwise(F.lit(0).cast("long")), F.col("large") + F.col("rest") - 1)))
         keyed = rows.select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "n", "classes", "sigs")
         return keyed.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_apart(self.percent), "a long, b long")
 
@@ -346,7 +378,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(low, "u")
         small = pairs.selectExpr("v AS u", "m AS v").where("u > v").union(pairs.selectExpr("u", "m AS v")).distinct()
-        edges = scratch.table(small, "edges")
+        old, edges = edges, scratch.table(small, "edges")
+        scratch.drop(old)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("u")).first()
         if state == before or state[0] == state[2] and edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

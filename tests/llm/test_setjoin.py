@@ -1,18 +1,20 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import setjoin as S
+from factloom.llm.queries import op4_ngram_jaccard_join
 
 
-def shingles(t, n=5):
-    w = (t or "").lower().split()
+def shingles(t, n=5, lower=True):
+    w = (t or "").lower().split() if lower else (t or "").split(" ") if t else []
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def brute(docs, percent=80):
-    sets = [shingles(t) for _, t in docs]
+def brute(docs, percent=80, lower=True):
+    sets = [shingles(t, lower=lower) for _, t in docs]
     label = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
@@ -46,6 +48,8 @@ def copies(seed, n=160):
 def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, small):
     monkeypatch.setattr(S, "SMALL", small)  # with few sets in small buckets, the large ones' path does the work
     monkeypatch.setattr(S, "_ROWS_IN_BLOCK", 5 if small == 1 else 4096)
+    monkeypatch.setattr(S, "HOT_ROWS", 3 if small == 1 else 1 << 16)  # busy subsets are dealt to several tasks
+    monkeypatch.setattr(S, "FILTER_BITS", 8 if small == 3 else 1 << 24)  # a join in place of the filter
     docs = copies(seed)
     got = S.components_of(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(docs)
@@ -81,3 +85,10 @@ def test_components_of_a_chain(spark):
     links = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rows = S.components(links.union(spark.createDataFrame([(100, 99)], "a long, b long"))).collect()
     assert {r.label for r in rows if r.node <= 40} == {0} and {(r.node, r.label) for r in rows if r.node > 40} == {(99, 99), (100, 99)} and len(rows) == 43
+
+
+def test_query_against_all_pairs_of_a_real_table(spark, small):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    rows = op4_ngram_jaccard_join(spark, small).collect()
+    words = [(d, " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))) for d, t in docs]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute(words, lower=False)
