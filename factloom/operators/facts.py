@@ -10,9 +10,11 @@ MAX_PAIRS = 1000  # equal pairs in a cluster
 LEAD_CHARS = 400
 
 
-def interpret(charts: DataFrame, spans: Column, fact_type: str, fields: dict[str, Column | object]) -> DataFrame:
+def interpret(charts: DataFrame, spans: Column, fact_type: str, fields: dict[str, Column | object], most: int | None = None) -> DataFrame:
     """A row per span: doc_id, sent_id, fact_type, f, t and the fields, each a function of the span's
-    struct column or a constant."""
+    struct column or a constant. ``most``: sentences with more facts of the type give none."""
+    if most is not None:
+        spans = F.when(F.size(spans) <= most, spans)
     rows = charts.select("doc_id", "sent_id", "sentence", "toks", F.inline(spans))
     whole = F.struct("f", "t")
     return rows.select("doc_id", "sent_id", F.lit(fact_type).alias("fact_type"), "f", "t", *[(v(whole) if callable(v) else F.lit(v)).alias(k) for k, v in fields.items()])
@@ -28,8 +30,8 @@ def complete(facts: DataFrame, required: list[str], defaults: dict[str, object])
 
 
 def cap(facts: DataFrame, most: int = MAX_FACTS) -> DataFrame:
-    """Drops all facts of a type from sentences with more than ``most`` of them: counted by an
-    aggregate, so no sentence's facts have to meet in memory."""
+    """Drops all facts of a type from sentences with more than ``most`` of them: for facts that are rows
+    already; groups by id. ``interpret`` with ``most`` does it in the row of the sentence, without a shuffle."""
     over = facts.groupBy("doc_id", "sent_id", "fact_type").count().where(F.col("count") > most).drop("count")
     return facts.join(over, ["doc_id", "sent_id", "fact_type"], "left_anti")
 
@@ -60,8 +62,14 @@ def equal_pairs(facts: DataFrame, value: str, most: int = MAX_PAIRS) -> DataFram
     return pairs.where(place <= most).select(F.col("a.doc_id").alias("doc_id"), F.col(f"a.{value}").alias(value), *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("sent_id", "f")], kind.alias("kind"))
 
 
+def lead_of(sentence: str = "sentence") -> list[Column]:
+    """lead, n_chars and n_bytes of a sentence's row."""
+    lead = F.substring(sentence, 1, LEAD_CHARS)
+    return [lead.alias("lead"), F.length(lead).cast("long").alias("n_chars"), F.octet_length(lead).cast("long").alias("n_bytes")]
+
+
 def leads(facts: DataFrame, charts: DataFrame) -> DataFrame:
-    """The sentence of each fact, cut to 400 characters, with its lengths in characters and bytes."""
+    """The sentence of each fact, cut to 400 characters, with its lengths in characters and bytes; groups by id."""
     lead = F.substring("sentence", 1, LEAD_CHARS)
     keys = facts.select("doc_id", "sent_id").distinct()
     return charts.select("doc_id", "sent_id", lead.alias("lead")).join(keys, ["doc_id", "sent_id"], "left_semi").withColumns({"n_chars": F.length("lead").cast("long"), "n_bytes": F.octet_length("lead").cast("long")})

@@ -1,6 +1,12 @@
 """Texts as sentences and tokens. Everything here is a narrow plan of built-in functions: sentences and
 tokens come from ``explode`` over arrays made in the row, neighbours are read from the same array, so
-no window and no shuffle is needed and filters reach the scan."""
+no window and no shuffle is needed. Filters on columns of the documents reach the scan; those on
+sentences and tokens are applied above the ``explode`` that makes them.
+
+Defined cases: null and empty texts have no sentence; null ids stay null; repeated rows give their
+sentences each; extra columns are dropped; texts of any length are read whole; a sentence without words has
+an empty array. What follows in this package works on the row of a sentence, so rows that share an id
+are never mixed, unless a function says that it groups by id."""
 
 from __future__ import annotations
 
@@ -18,14 +24,10 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("sent_id", "sentence")).withColumn("sent_id", F.col("sent_id").cast("long"))
 
 
-def token_array(words: Column) -> Column:
-    """The words of a sentence as tokens: pos, tok, low, and the tokens before and after."""
-    return F.transform(
-        words,
-        lambda w, i: F.struct(
-            i.cast("long").alias("pos"), w.alias("tok"), F.lower(w).alias("low"), F.when(i > 0, F.try_element_at(words, i)).alias("prev"), F.try_element_at(words, i + 2).alias("next")
-        ),
-    )
+def token_array(words: Column, neighbours: bool = False) -> Column:
+    """The words of a sentence as tokens: pos, tok, low, and, if asked for, the tokens before and after."""
+    around = lambda i: [F.when(i > 0, F.try_element_at(words, i)).alias("prev"), F.try_element_at(words, i + 2).alias("next")] if neighbours else []
+    return F.transform(words, lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("tok"), F.lower(w).alias("low"), *around(i)))
 
 
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -34,16 +36,16 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def charts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def charts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", neighbours: bool = False) -> DataFrame:
     """A row per sentence with its tokens as an array: the input of the grammar operators."""
     words = F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0))
     df = computed(sentences(docs, id_col, text_col), {"words": words})
-    return computed(df, {"toks": token_array(F.col("words"))}).drop("words")
+    return computed(df, {"toks": token_array(F.col("words"), neighbours)}).drop("words")
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per token: doc_id, sent_id, pos, tok, low, prev, next."""
-    return charts(docs, id_col, text_col).select("doc_id", "sent_id", F.inline("toks"))
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", neighbours: bool = False) -> DataFrame:
+    """A row per token: doc_id, sent_id, pos, tok, low and, if asked for, prev and next."""
+    return charts(docs, id_col, text_col, neighbours).select("doc_id", "sent_id", F.inline("toks"))
 
 
 KINDS = [

@@ -35,8 +35,8 @@ def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TK.charts(read(spark, sf_dir, "documents"))
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TK.tokens(read(spark, sf_dir, "documents"))
+def tokens(spark: SparkSession, sf_dir: str, neighbours: bool = False) -> DataFrame:
+    return TK.tokens(read(spark, sf_dir, "documents"), neighbours=neighbours)
 
 
 SENTS = r"""sents AS (
@@ -111,7 +111,7 @@ def _tag(name: str) -> None:
     spark_sql, duck_sql = TAGS[name]
 
     def run(spark, sf_dir):
-        return tokens(spark, sf_dir).where(spark_sql).select("doc_id", "sent_id", "pos", "tok")
+        return tokens(spark, sf_dir, "prev" in spark_sql or "next" in spark_sql).where(spark_sql).select("doc_id", "sent_id", "pos", "tok")
 
     run.__name__ = f"tag_{name}"
     query(f"WITH {TOKS} SELECT doc_id, sent_id, pos, tok FROM tokens WHERE {duck_sql}")(run)
@@ -197,14 +197,16 @@ def tag_mw(spark, sf_dir):
 
 @query(f"WITH {HITS} SELECT DISTINCT t.doc_id, t.sent_id, t.pos FROM tokens t JOIN hits h ON t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.pos = h.f AND h.t = h.f + 1 WHERE h.kwtype = 'prep'")
 def tag_kwtype(spark, sf_dir):
-    one = hits(spark, sf_dir).where("kwtype = 'prep' AND t = f + 1").select("doc_id", "sent_id", F.col("f").alias("pos"))
-    return tokens(spark, sf_dir).select("doc_id", "sent_id", "pos").join(one, ["doc_id", "sent_id", "pos"], "left_semi")
+    df = GZ.with_hits(charts(spark, sf_dir), gazetteer(spark))
+    some = F.filter("toks", lambda x: F.exists("hits", lambda h: (h["f"] == x["pos"]) & (h["t"] == x["pos"] + 1) & (h["kwtype"] == "prep")))
+    return df.select("doc_id", "sent_id", F.inline(some)).select("doc_id", "sent_id", "pos")
 
 
 @query(f"WITH {HITS} SELECT doc_id, sent_id, pos, tok FROM tokens t WHERE low LIKE 'th%' AND NOT EXISTS (SELECT 1 FROM hits h WHERE t.doc_id = h.doc_id AND t.sent_id = h.sent_id AND t.pos = h.f AND h.t = h.f + 1)")
 def tag_kwtype_none(spark, sf_dir):
-    one = hits(spark, sf_dir).where("t = f + 1").select("doc_id", "sent_id", F.col("f").alias("pos"))
-    return tokens(spark, sf_dir).where("low LIKE 'th%'").join(one, ["doc_id", "sent_id", "pos"], "left_anti").select("doc_id", "sent_id", "pos", "tok")
+    df = GZ.with_hits(charts(spark, sf_dir), gazetteer(spark))
+    some = F.filter("toks", lambda x: x["low"].startswith("th") & ~F.exists("hits", lambda h: (h["f"] == x["pos"]) & (h["t"] == x["pos"] + 1)))
+    return df.select("doc_id", "sent_id", F.inline(some)).select("doc_id", "sent_id", "pos", "tok")
 
 
 @query(f"WITH {HITS} SELECT doc_id, sent_id, f, t, kwtype, CAST(weight * 100000000 AS BIGINT) AS user_weight FROM hits WHERE kwtype IN ('prep', 'phrase')")
@@ -213,10 +215,9 @@ def tag_gztweight(spark, sf_dir):
 
 
 def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, sent_id and the chosen spans: hits of a sentence meet in one aggregate of its few spans."""
-    found = hits(spark, sf_dir).groupBy("doc_id", "sent_id", "f", "t").agg(F.max("weight").alias("w"))
-    sets = found.groupBy("doc_id", "sent_id").agg(F.collect_list(F.struct("f", "t", "w")).alias("spans"))
-    return sets.select("doc_id", "sent_id", G.cover(F.col("spans")).alias("cover"))
+    """Sentences with the column cover: the chosen spans of their hits."""
+    df = TK.computed(GZ.with_hits(charts(spark, sf_dir), gazetteer(spark)).where(F.size("hits") > 0), {"spans": GZ.best(F.col("hits"))})
+    return TK.computed(df, {"cover": G.cover(F.col("spans"))})
 
 
 _COVER = f"""WITH RECURSIVE {HITS},
@@ -240,13 +241,20 @@ def gaz_maximal_cover(spark, sf_dir):
     return covers(spark, sf_dir).select("doc_id", "sent_id", F.inline("cover")).select("doc_id", "sent_id", "f", "t")
 
 
-@query()
+_SUBSTITUTED = _COVER.replace("SELECT doc_id, sent_id, s[j + 1].f AS f", ", cover AS (SELECT doc_id, sent_id, s[j + 1].f AS f") + """),
+placed AS (
+  SELECT doc_id, sent_id, pos AS f, low AS word FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM cover c WHERE c.doc_id = t.doc_id AND c.sent_id = t.sent_id AND c.f <= t.pos AND t.pos < c.t)
+  UNION ALL
+  SELECT c.doc_id, c.sent_id, c.f, string_agg(t.low, ' ' ORDER BY t.pos) FROM cover c JOIN tokens t ON c.doc_id = t.doc_id AND c.sent_id = t.sent_id AND c.f <= t.pos AND t.pos < c.t GROUP BY ALL)
+SELECT doc_id, sent_id, CAST(row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY f) - 1 AS BIGINT) AS place, word FROM placed"""
+
+
+@query(_SUBSTITUTED)
 def gaz_substitute(spark, sf_dir):
     """The words of each sentence with covered ones replaced by their span."""
-    words = charts(spark, sf_dir).join(covers(spark, sf_dir), ["doc_id", "sent_id"], "left").withColumn("cover", F.coalesce("cover", F.array().cast("array<struct<f:bigint,t:bigint,w:bigint>>")))
-    spans = F.transform("cover", lambda x: F.struct(x["f"].alias("f"), G.text(F.col("toks"), x, "low").alias("word")))
-    rest = F.transform(F.filter("toks", lambda w: ~F.exists("cover", lambda x: (x["f"] <= w["pos"]) & (w["pos"] < x["t"]))), lambda w: F.struct(w["pos"].alias("f"), w["low"].alias("word")))
-    return words.select("doc_id", "sent_id", F.posexplode(F.array_sort(F.concat(spans, rest))).alias("place", "x")).select("doc_id", "sent_id", F.col("place").cast("long").alias("place"), "x.word")
+    df = TK.computed(GZ.with_hits(charts(spark, sf_dir), gazetteer(spark)), {"spans": GZ.best(F.col("hits"))})
+    df = TK.computed(df, {"cover": G.cover(F.col("spans"))})
+    return df.select("doc_id", "sent_id", F.posexplode(GZ.substitute(F.col("toks"), F.col("cover"))).alias("place", "x")).select("doc_id", "sent_id", F.col("place").cast("long").alias("place"), "x.word")
 
 
 # --- grammar -----------------------------------------------------------------------------------------
@@ -315,14 +323,18 @@ def rule_filter(spark, sf_dir):
 
 # --- facts -------------------------------------------------------------------------------------------
 
-def _relation(spark, sf_dir) -> DataFrame:
-    """Relation(what, place, kind): an article word, a preposition, and the word after it."""
+def _relations(spark, sf_dir) -> DataFrame:
+    """Sentences with the column r: spans of a word, a preposition, and the word after it."""
     df = charts(spark, sf_dir)
     word = lambda x: x["low"].rlike(r"^\p{L}{3,}$")
     df = TK.computed(df, {"word": G.terminal(F.col("toks"), word), "prep": G.terminal(F.col("toks"), TERMINALS["prep"][0])})
-    df = TK.computed(df, {"r": G.seq(F.col("word"), F.col("prep"), F.col("word"))})
+    return TK.computed(df, {"r": G.seq(F.col("word"), F.col("prep"), F.col("word"))})
+
+
+def _relation(spark, sf_dir, most: int | None = None) -> DataFrame:
+    """Relation(what, place, kind)."""
     at = lambda i: (lambda s: F.element_at("toks", (s["f"] + i + 1).cast("int"))["low"])
-    return FA.interpret(df, F.col("r"), "Relation", {"what": at(0), "prep": at(1), "place": at(2), "kind": "word"})
+    return FA.interpret(_relations(spark, sf_dir), F.col("r"), "Relation", {"what": at(0), "prep": at(1), "place": at(2), "kind": "word"}, most)
 
 
 _RELATION = rf"""relation AS (
@@ -343,7 +355,7 @@ def fact_required_default(spark, sf_dir):
 
 @query(f"WITH {TOKS}, {_RELATION} SELECT doc_id, sent_id, f, what FROM relation QUALIFY count(*) OVER (PARTITION BY doc_id, sent_id, fact_type) <= 2")
 def fact_cap(spark, sf_dir):
-    return FA.cap(_relation(spark, sf_dir), 2).select("doc_id", "sent_id", "f", "what")
+    return _relation(spark, sf_dir, 2).select("doc_id", "sent_id", "f", "what")
 
 
 @query(f"WITH {TOKS}, {_RELATION} SELECT doc_id, sent_id, f, replace(upper(what), 'ẞ', 'SS') AS upper_form, replace(upper(what[1]), 'ẞ', 'SS') || what[2:] AS title_form FROM relation")
@@ -382,13 +394,13 @@ def doc_equal_facts(spark, sf_dir):
 
 @query(f"WITH {TOKS}, {_RELATION} SELECT doc_id, sent_id, substr(sentence, 1, 400) AS lead, CAST(length(substr(sentence, 1, 400)) AS BIGINT) AS n_chars, CAST(strlen(substr(sentence, 1, 400)) AS BIGINT) AS n_bytes FROM sents s WHERE EXISTS (SELECT 1 FROM relation r WHERE r.doc_id = s.doc_id AND r.sent_id = s.sent_id)")
 def sink_leads(spark, sf_dir):
-    return FA.leads(_relation(spark, sf_dir), charts(spark, sf_dir))
+    return _relations(spark, sf_dir).where(F.size("r") > 0).select("doc_id", "sent_id", *FA.lead_of())
 
 
 @query(f"WITH {TOKS}, {_RELATION} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM sents) AS sentences, (SELECT count(*) FROM (SELECT DISTINCT doc_id, sent_id FROM relation)) AS touched")
 def doc_counters(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    touched = _relation(spark, sf_dir).select("doc_id", "sent_id").distinct().agg(F.count("*").alias("touched"))
+    touched = _relations(spark, sf_dir).where(F.size("r") > 0).agg(F.count("*").alias("touched"))
     # three one-row frames, joined by a constant key
     parts = [docs.agg(F.count("*").alias("documents")), TK.sentences(docs).agg(F.count("*").alias("sentences")), touched]
     one, two, three = (p.withColumn("k", F.lit(1)) for p in parts)
