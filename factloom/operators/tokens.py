@@ -43,8 +43,8 @@ def charts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", neig
     return computed(df, {"toks": token_array(F.col("words"), neighbours)}).drop("words")
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", neighbours: bool = False) -> DataFrame:
-    """A row per token: doc_id, sent_id, pos, tok, low and, if asked for, prev and next."""
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", neighbours: bool = True) -> DataFrame:
+    """A row per token: doc_id, sent_id, pos, tok, low and, unless not asked for, prev and next."""
     return charts(docs, id_col, text_col, neighbours).select("doc_id", "sent_id", F.inline("toks"))
 
 
