@@ -49,29 +49,31 @@ NAMES = mask("persn,famn,patrn")
 # --- agreement: of two sets of grammemes, ints or columns alike ---------------------------------------------
 
 def _case(a, b):
-    return (_bits(a, CASE) & _bits(b, CASE)) != 0
+    return _meet(a, b, CASE)
 
 
 def _number(a, b):
-    return (_bits(a, NUMBER) & _bits(b, NUMBER)) != 0
+    return _meet(a, b, NUMBER)
 
 
 def _gender(a, b):
     """Plural forms have no gender to agree in, common gender agrees with all but neuter."""
-    both = (_bits(a, GENDER) & _bits(b, GENDER)) != 0
+    both = _meet(a, b, GENDER)
     plural = (_bits(a, BIT["pl"]) != 0) & (_bits(b, BIT["pl"]) != 0)
     common = ((_bits(a, BIT["mf"]) != 0) & (_bits(b, BIT["m"] | BIT["f"]) != 0)) | ((_bits(b, BIT["mf"]) != 0) & (_bits(a, BIT["m"] | BIT["f"]) != 0))
     return both | plural | common
 
 
+def _meet(a, b, m: int):
+    return a.bitwiseAND(b).bitwiseAND(F.lit(m)) != 0 if isinstance(a, Column) else a & b & m != 0
+
+
 def _bits(x, m: int):
     return x.bitwiseAND(F.lit(m)) if isinstance(x, Column) else x & m
 
 
 def agree(kind: str, a, b):
     """Whether a form with grammemes ``a`` and one with ``b`` agree; for longs as columns too."""
-    if isinstance(a, Column) or isinstance(b, Column):
-        a, b = _Long(a), _Long(b)
     has = lambda x, g: _bits(x, mask(g)) != 0
     gnc = lambda: _gender(a, b) & _number(a, b) & _case(a, b)
     rules = {
@@ -86,7 +88,7 @@ def agree(kind: str, a, b):
         & (
             ((has(b, "praet") | has(b, "brev")) & _number(a, b) & (_gender(a, b) | has(a, "1p") | has(a, "2p")))
             | (has(b, "imper") & has(a, "2p"))
-            | (~_b(has(b, "praet") | has(b, "brev") | has(b, "imper")) & _number(a, b) & (has(b, "3p") & ~_b(has(a, "1p") | has(a, "2p")) | ((_bits(a, PERSON) & _bits(b, PERSON)) != 0)))
+            | (~_b(has(b, "praet") | has(b, "brev") | has(b, "imper")) & _number(a, b) & (has(b, "3p") & ~_b(has(a, "1p") | has(a, "2p")) | (_meet(a, b, PERSON))))
         ),
         # a woman's name agrees with a masculine word
         "fem-c-agr": lambda: _case(a, b) & _number(a, b) & (_gender(a, b) | (has(a, "f") & (has(a, "famn") | has(a, "persn"))) | (has(b, "f") & (has(b, "famn") | has(b, "persn")))),
@@ -100,10 +102,6 @@ def agree(kind: str, a, b):
     return out if isinstance(out, Column) else bool(out)
 
 
-def _Long(x):
-    return x if isinstance(x, Column) else F.lit(int(x)).cast("long")
-
-
 class _Truth(int):
     def __invert__(self):
         return _Truth(not self)
@@ -134,7 +132,53 @@ def readings(tokens: DataFrame, lexicon: DataFrame, word: str = "low", how: str
     return tokens.join(forms, tokens[word] == forms["form"], how).drop("form")
 
 
-def is_terminal(name: str, pos: Column, g: Column) -> Column:
+def with_readings(tokens: DataFrame, lexicon: DataFrame, word: Column, name: str) -> DataFrame:
+    """``tokens`` with the column ``name``: all readings of a word as an array of (lemma, pos, g, predicted), empty for
+    words that the lexicon lacks. One join, broadcast up to ``BROADCAST_FORMS`` forms: no row of tokens is repeated."""
+    forms = masks(lexicon)
+    total = forms.count()
+    forms = forms.groupBy(F.col("form").alias("_form")).agg(F.array_sort(F.collect_list(F.struct("lemma", "pos", "g", "predicted"))).alias(name))
+    joined = tokens.withColumn("_word", word).join(F.broadcast(forms) if total <= BROADCAST_FORMS else forms, F.col("_word") == F.col("_form"), "left").drop("_word", "_form")
+    return joined.withColumn(name, F.coalesce(name, F.slice(F.array(F.struct(F.lit("").alias("lemma"), F.lit("").alias("pos"), F.lit(0).cast("long").alias("g"), F.lit(False).alias("predicted"))), 1, 0)))
+
+
+def has(g: Column, grams: str, every: bool = True) -> Column:
+    """Whether a set of grammemes has all (or any) of some."""
+    m = mask(grams)
+    return g.bitwiseAND(F.lit(m)) == m if every else g.bitwiseAND(F.lit(m)) != 0
+
+
+def fits(readings: Column, grams: str) -> Column:
+    """gram="a,~b": a form has all of a, and none has any of b."""
+    want = [x.strip() for x in grams.split(",")]
+    need, bad = [x for x in want if not x.startswith("~")], [x[1:] for x in want if x.startswith("~")]
+    out = F.exists(readings, lambda r: has(r["g"], ",".join(need)))
+    for b in bad:
+        out = out & ~F.exists(readings, lambda r: has(r["g"], b))  # noqa: B023
+    return out
+
+
+def union_fits(readings: Column, text: str) -> Column:
+    """GU: alternatives by |; [a,b] a form has all, &[a,b] the union of a homonym's forms, ~[a,b] no form any."""
+    out = F.lit(False)
+    for part in text.split("|"):
+        grams = part.strip().lstrip("~&").strip("[] ")
+        if part.strip().startswith("~"):
+            out = out | ~F.exists(readings, lambda r: has(r["g"], grams, False))  # noqa: B023
+        elif part.strip().startswith("&"):
+            whole = lambda x: F.aggregate(F.filter(readings, lambda r: (r["lemma"] == x["lemma"]) & (r["pos"] == x["pos"])), F.lit(0).cast("long"), lambda acc, r: acc.bitwiseOR(r["g"]))
+            out = out | F.exists(readings, lambda x: has(whole(x), grams))  # noqa: B023
+        else:
+            out = out | F.exists(readings, lambda r: has(r["g"], grams))  # noqa: B023
+    return out
+
+
+def agreeing(kind: str, left: Column, right: Column) -> Column:
+    """Whether a form of the left readings agrees with one of the right ones."""
+    return F.exists(left, lambda x: F.exists(right, lambda y: agree(kind, x["g"], y["g"])))
+
+
+def is_terminal(name: str, g: Column) -> Column:
     """Terminals that speak of a reading, as in ``plans/chart``."""
     has = lambda x: g.bitwiseAND(F.lit(mask(x))) != 0
     return {

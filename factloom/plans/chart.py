@@ -349,7 +349,7 @@ class Parser:
                     return None
                 continue
             agreed = _agreed(kind, forms[a], forms[b])
-            unknown = not forms[a] or not forms[b]
+            unknown = any(not any(f for _, fs in x for f in fs) for x in (forms[a], forms[b]))  # words of which nothing is known
             if negated:
                 if agreed[0] or unknown:
                     return None
@@ -499,36 +499,61 @@ def coverage(node: Node, units: list[Unit]) -> int:
     return n or node.t - node.f
 
 
+def mean_weight(size: int, strength: int, keywords: int, own: int) -> int:
+    """The mean of agreement, keyword share and own weight in fixed point, for a group of so many words."""
+    norm = 3 * size * (size - 1) // 2
+    agreement = SCALE if size == 1 else strength * SCALE // norm if strength else 9 * SCALE // (10 * norm)
+    return (agreement + min(keywords, size) * SCALE // size + own) // 3
+
+
+def _own(node: Node) -> int:
+    return int(Fraction(node.weight).limit_denominator(10**9) * SCALE)
+
+
 def weight(node: Node, units: list[Unit]) -> int:
-    """The mean of agreement, keyword share and the rules' own weight, in fixed point."""
     leaves = node.leaves()
-    n = len(leaves)
-    norm = 3 * (n * (n - 1) // 2)
-    total = sum(_strengths(node))
-    agreement = SCALE if n == 1 else (total * SCALE // norm if total else (9 * SCALE // 10) // norm)
-    keywords = sum(x.keywords for x in leaves) * SCALE // n
-    own = int(Fraction(node.weight).limit_denominator(10**9) * SCALE)
-    return (agreement + keywords + own) // 3
+    return mean_weight(len(leaves), _strength(node), sum(x.keywords for x in leaves), _own(node))
+
+
+def _strength(node: Node) -> int:
+    return sum(s for _, _, s in node.bonds) + sum(_strength(p) for p in node.parts)
+
+
+@dataclass(frozen=True)
+class _Solution:
+    """Parses without overlaps, weighed as one group that reaches from the sentence's first word to its own last."""
+
+    coverage: int = 0
+    weight: int = 0
+    nodes: tuple[Node, ...] = ()
+    strength: int = 0
+    keywords: int = 0
+    own: int = SCALE
 
+    def rank(self) -> tuple[int, int, int]:
+        return self.coverage, self.weight, -len(self.nodes)
 
-def _strengths(node: Node) -> list[int]:
-    return [s for _, _, s in node.bonds] + [s for p in node.parts for s in _strengths(p)]
+    def add(self, x: Node, units: list[Unit]) -> _Solution:
+        strength, keywords, own = self.strength + _strength(x), self.keywords + sum(y.keywords for y in x.leaves()), self.own * _own(x) // SCALE
+        return _Solution(self.coverage + coverage(x, units), mean_weight(x.j, strength, keywords, own), (*self.nodes, x), strength, keywords, own)
 
 
 def choose(nodes: list[Node], units: list[Unit]) -> list[Node]:
-    """The parses of largest coverage, then weight, then fewest, without overlaps."""
+    """The parses of largest coverage, then weight, then fewest, without overlaps: by last and first word, each is
+    put on the best solution before it; one that it overlaps takes its place only if it is better."""
     nodes = sorted(nodes, key=lambda x: (x.j, x.i))
-    best: list[tuple[int, int, int, list[Node]]] = []
-    for x in nodes:
-        base = next((s for s, y in zip(reversed(best), reversed(nodes[: len(best)]), strict=True) if y.j <= x.i), (0, 0, 0, []))
-        mine = (base[0] + coverage(x, units), base[1] + weight(x, units), base[2] - 1, [*base[3], x])
-        for s, y in zip(reversed(best), reversed(nodes[: len(best)]), strict=True):
-            if y.j <= x.i:
+    best: list[_Solution] = []
+    for n, x in enumerate(nodes):
+        base, rival = _Solution(), None
+        for k in range(n - 1, -1, -1):
+            if nodes[k].j <= x.i:
+                base = best[k]
                 break
-            if s[:3] > mine[:3]:
-                mine = s
-        best.append(mine)
-    return best[-1][3] if best else []
+            if rival is None or best[k].rank() > rival.rank():
+                rival = best[k]
+        mine = base.add(x, units)
+        best.append(rival if rival is not None and rival.rank() > mine.rank() else mine)
+    return list(best[-1].nodes) if best else []
 
 
 # --- normalization ------------------------------------------------------------------------------------------

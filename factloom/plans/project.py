@@ -27,6 +27,7 @@ from factloom.plans import language as L
 from factloom.plans.chart import Fact, Unit, Value
 
 WORD = re.compile(r"[^\W\d_]+(?:[-–][^\W\d_]+)*|\d+|[^\w\s]|_")
+PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")  # words with a hyphen are three tokens
 SCHEMA = "doc_id long, sent_id long, fact_id long, article string, fact_type string, f long, t long, c_from long, c_to long, fields map<string,string>, weight long"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "sent_id", "fact_id")] + [("article", pa.string()), ("fact_type", pa.string())] + [(n, pa.int64()) for n in ("f", "t", "c_from", "c_to")] + [("fields", pa.map_(pa.string(), pa.string())), ("weight", pa.int64())])
 MAX_FACTS = 25
@@ -66,6 +67,7 @@ class Project:
     lexicon: Lexicon
     most: int = MAX_FACTS
     files: dict[str, str] = field(default_factory=dict)
+    hyphens: bool = True
 
     @classmethod
     def read(cls, folder: str, config: str = "config.proto", lexicon: Lexicon | None = None) -> Project:
@@ -139,11 +141,11 @@ class Project:
                 continue
             grams = [g.strip() for g in str(block.get("gram", [""])[0]).split(",") if g.strip()]
             for line in load(str(text)).splitlines() if kind == "FILE" else [str(text)]:
-                words = re.findall(r"[!$]?" + WORD.pattern, line)
+                words = re.findall(r"\$[\w/*]+|!?(?:" + (WORD if self.hyphens else PARTS).pattern + r")|\*", line)
                 if words:
                     out.keys.setdefault(a.name, []).append(
                         Key(
-                            tuple(w if w[0] in "$" else w for w in words), a.name, mask([g for g in grams if not g.startswith("~")]), mask([g[1:] for g in grams if g.startswith("~")]),
+                            tuple(words), a.name, mask([g for g in grams if not g.startswith("~")]), mask([g[1:] for g in grams if g.startswith("~")]),
                             str(block.get("case", [""])[0]), str(block.get("agr", [""])[0]), str(block.get("lang", [""])[0]), main, str(block.get("morph", [""])[0]) == "EXACT_FORM",
                         )
                     )
@@ -185,13 +187,13 @@ class Sentence:
 
     def __init__(self, compiled: Compiled, text: str):
         self.c, self.text = compiled, text
-        self.places = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        self.places = [(m.start(), m.end()) for m in (WORD if compiled.project.hyphens else PARTS).finditer(text)]
         self.texts = [text[a:b] for a, b in self.places]
         quotes = "\"«»“”„"
         lexicon = compiled.project.lexicon
         self.words = []
         for n, w in enumerate(self.texts):
-            homs = lexicon.homonyms(w) if w[0].isalpha() else ()
+            homs = (lexicon.homonyms(w) or (Homonym(plain(w), "", (0,)),)) if w[0].isalpha() else ()
             self.words.append(
                 Unit(w, n, n + 1, homs, n > 0 and self.texts[n - 1] in quotes, n + 1 < len(self.texts) and self.texts[n + 1] in quotes, first=n == 0, last=n == len(self.texts) - 1)
             )

@@ -62,6 +62,15 @@ def text_tokens(spark, sf_dir):
     return tokens(spark, sf_dir).select("doc_id", "sent_id", "pos", "tok", "low")
 
 
+#: texts with what the tables lack (quotations, dates, times), added to ``documents`` by the queries about them
+MORE = [(-1, 'She saw "Solaris" on 3.10.2011 at 19:30.'), (-2, 'Read «Dune» and "Ubik" today'), (-3, "Open 9:05-17:45, from 1/2/99 to 28-02-1999"), (-4, "31.02.2020 is no day, 29.2.2020 is; so is 1.1.30"), (-5, 'The "New York" office'), (-6, "25:10 or 12:60 are no times")]
+_MORE = "(SELECT doc_id, text FROM documents UNION ALL VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in MORE) + ") AS more(doc_id, text)"
+
+
+def and_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame(MORE, "doc_id long, text string"))
+
+
 _KIND_SQL = " ".join("WHEN regexp_matches(tok, '{}') THEN '{}'".format(p.replace("'", "''"), k) for k, p in TK.KINDS)
 
 
@@ -110,11 +119,15 @@ TAGS: dict[str, tuple[str, str]] = {
 def _tag(name: str) -> None:
     spark_sql, duck_sql = TAGS[name]
 
+    quoted = "quoted" in name
+
     def run(spark, sf_dir):
-        return tokens(spark, sf_dir, "prev" in spark_sql or "next" in spark_sql).where(spark_sql).select("doc_id", "sent_id", "pos", "tok")
+        found = TK.tokens(and_more(spark, sf_dir)) if quoted else tokens(spark, sf_dir, "prev" in spark_sql or "next" in spark_sql)
+        return found.where(spark_sql).select("doc_id", "sent_id", "pos", "tok")
 
     run.__name__ = f"tag_{name}"
-    query(f"WITH {TOKS} SELECT doc_id, sent_id, pos, tok FROM tokens WHERE {duck_sql}")(run)
+    toks = TOKS.replace("FROM documents", f"FROM {_MORE}") if quoted else TOKS
+    query(f"WITH {toks} SELECT doc_id, sent_id, pos, tok FROM tokens WHERE {duck_sql}")(run)
 
 
 for _name in TAGS:
@@ -420,23 +433,23 @@ _TEXTS = "SELECT doc_id, unnest({}) AS value FROM documents"
 
 
 @query(
-    r"""SELECT doc_id, value FROM (
+    rf"""SELECT doc_id, value FROM (
       SELECT doc_id, CAST(try_cast(lpad(CASE WHEN length(y) <= 2 THEN CASE WHEN CAST(y AS INT) < 30 THEN CAST(2000 + CAST(y AS INT) AS VARCHAR) ELSE CAST(1900 + CAST(y AS INT) AS VARCHAR) END WHEN CAST(y AS INT) BETWEEN 1000 AND 3000 THEN y END, 4, '0') || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') AS DATE) AS VARCHAR) AS value
       FROM (SELECT doc_id, regexp_extract(x, '(\d+)\D+(\d+)\D+(\d+)', 1) AS d, regexp_extract(x, '(\d+)\D+(\d+)\D+(\d+)', 2) AS m, regexp_extract(x, '(\d+)\D+(\d+)\D+(\d+)', 3) AS y
-        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(\d{1,2})[./\\-](\d{1,2})[./\\-](\d{4}|\d{2})\b')) AS x FROM documents))) WHERE value IS NOT NULL"""
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(\d{{1,2}})[./\\-](\d{{1,2}})[./\\-](\d{{4}}|\d{{2}})\b')) AS x FROM {_MORE}))) WHERE value IS NOT NULL"""
 )
 def alg_date(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.dates(F.col("text"))).alias("value"))
+    return and_more(spark, sf_dir).select("doc_id", F.explode(T.dates(F.col("text"))).alias("value"))
 
 
-@query(r"SELECT doc_id, CAST(split_part(x, ':', 1) AS BIGINT) * 60 + CAST(split_part(x, ':', 2) AS BIGINT) AS minute FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b([01]?\d|2[0-3]):([0-5]\d)\b')) AS x FROM documents)")
+@query(rf"SELECT doc_id, CAST(split_part(x, ':', 1) AS BIGINT) * 60 + CAST(split_part(x, ':', 2) AS BIGINT) AS minute FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b([01]?\d|2[0-3]):([0-5]\d)\b')) AS x FROM {_MORE})")
 def alg_time(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.times(F.col("text"))).alias("minute"))
+    return and_more(spark, sf_dir).select("doc_id", F.explode(T.times(F.col("text"))).alias("minute"))
 
 
-@query(r"SELECT doc_id, regexp_extract(x, '\x22(.*)\x22', 1) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\x22([^\x22.,;:!?\n]+)\x22')) AS x FROM documents)")
+@query(rf"SELECT doc_id, regexp_extract(x, '\x22(.*)\x22', 1) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\x22([^\x22.,;:!?\n]+)\x22')) AS x FROM {_MORE})")
 def alg_quoted(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.quoted(F.col("text"))).alias("value"))
+    return and_more(spark, sf_dir).select("doc_id", F.explode(T.quoted(F.col("text"))).alias("value"))
 
 
 @query(r"SELECT doc_id, CAST(replace(x, ',', '.') AS DOUBLE) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\d+(?:[.,]\d+)?')) AS x FROM documents)")
