@@ -341,7 +341,7 @@ class Join:
                 more = now.join(split, "sig").where("label <> own").selectExpr("least(pivot, node) AS a", "greatest(pivot, node) AS b")
                 more = self.plausible(more.distinct().join(pairs, ["a", "b"], "left_anti"))
             else:
-                more = self.apart(now.join(split.select("sig"), "sig", "left_semi")).distinct().join(pairs, ["a", "b"], "left_anti")
+                more = self.apart(scratch.table(now.join(split.select("sig"), "sig", "left_semi"), "split")).distinct().join(pairs, ["a", "b"], "left_anti")
             more = scratch.table(more, "pairs")
             if more.isEmpty():
                 continue
