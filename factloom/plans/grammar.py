@@ -1,4 +1,5 @@
-"""The grammar language: text of rules to a plan over sentences.
+"""The native subset of the grammar language: text of rules to built-in expressions over sentences, without
+Python code. ``plans.language`` reads the whole language; what stands outside the subset is refused here.
 
     // comment
     #define NAME pattern
@@ -90,8 +91,10 @@ def preprocess(text: str, defined: set[str] | None = None) -> tuple[str, dict[st
                 macros[a] = b.strip()
             elif take[-1] and name == "undef":
                 macros.pop(a, None)
-            elif take[-1]:
+            elif take[-1] and name in ("GRAMMAR_ROOT", "encoding"):
                 found[name] = f"{a} {b}".strip()
+            elif take[-1]:
+                raise GrammarError(f"#{name} is no part of the native subset; plans.language has it")
         elif take[-1]:
             out.append(re.sub(r"\$\{(\w+)\}", lambda m: macros.get(m[1], m[0]), line))
     if len(take) > 1:
@@ -118,7 +121,7 @@ def parse(text: str, defined: set[str] | None = None) -> Grammar:
     names = {r.left for r in rules}
     used = {i.name for r in rules for i in r.items if i.name != r.left}
     roots = [directives["GRAMMAR_ROOT"]] if "GRAMMAR_ROOT" in directives else sorted(names - used)
-    if len(roots) != 1:
+    if len(roots) != 1 or roots[0].rstrip(";") not in names:
         raise GrammarError(f"the root is not clear: {roots}")
     grammar = Grammar(rules, roots[0])
     _check(grammar, names)
@@ -147,8 +150,10 @@ def _rule(left: str, text: str) -> Rule:
         _, sign, lemma, tags, name = m.groups()
         if sign == "{":
             end = text.index("}", at)
-            if c := re.search(r"count\s*=\s*(\d+)", text[at:end]):
-                rule.most = int(c[1])
+            c = re.fullmatch(r"\s*count\s*=\s*(\d+)\s*", text[at:end])
+            if not c:
+                raise GrammarError(f"{{{text[at:end]}}} is no part of the native subset; plans.language has it")
+            rule.most = int(c[1])
             at = end + 1
         elif sign in ("(", ")"):
             depth += 1 if sign == "(" else -1
@@ -173,6 +178,8 @@ def _check(grammar: Grammar, names: set[str]) -> None:
         heads = [i for i in r.items if any(t == "rt" for t, _, _ in i.tags)]
         if len(heads) > 1 or any(h.optional for h in heads):
             raise GrammarError(f"{r.left}: one head, and not an optional item")
+        if heads and heads[0] is not r.items[0]:
+            raise GrammarError(f"{r.left}: a head other than the first item is no part of the native subset; plans.language has it")
         for i in r.items:
             if i.name not in names and i.name not in _TEST and not i.name.startswith("'"):
                 raise GrammarError(f"{i.name} is not defined")
@@ -225,7 +232,7 @@ def _terminal(name: str):
 
 
 def _narrow(spans: Column, item: Item, toks: Column) -> Column:
-    """Constraints hold for the first token of a span (terminals have no other)."""
+    """Constraints hold for the first token of a span, which is its head in the native subset."""
     for tag, value, negated in item.tags:
         if tag != "rt":
             spans = F.filter(spans, _passes(toks, tag, value, negated))

@@ -161,7 +161,33 @@ def test_a_stream_gives_what_the_table_gives(spark, tmp_path):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(Q.ORACLES) <= set(Q.QUERIES) and set(Q.QUERIES) - set(Q.ORACLES) == {"gaz_substitute"}
+    assert set(Q.ORACLES) == set(Q.QUERIES)
+
+
+@pytest.mark.parametrize("text", ["#filter &Word\nS -> Word;", "#include <x>\nS -> Word;", "S -> Word {weight=0.5};", "#GRAMMAR_ROOT X\nS -> Word;", "S -> Word Word<rt>;"])
+def test_the_native_subset_refuses_what_it_does_not_do(text):
+    with pytest.raises(PG.GrammarError):
+        PG.parse(text)
+
+
+def test_a_long_sentence_of_matching_words(spark):
+    text = ", ".join('abcdefg'[i % 7] for i in range(2500))
+    df = TK.computed(TK.charts(docs(spark, text)), {"w": G.terminal(F.col("toks"), lambda t: t["tok"] != ","), "c": G.terminal(F.col("toks"), lambda t: t["tok"] == ",")})
+    assert df.select(F.size(G.chains(F.col("w"), F.col("c"))).alias("n"), F.size(F.element_at(G.chains(F.col("w"), F.col("c")), 1)).alias("m")).first() == (1, 2500)
+
+
+def test_lookup_in_the_row_and_by_join_agree(spark):
+    entries = [("a", "k", ["red", "fox"], False, 2, None, None, 2), ("b", "k", ["the", "*", "fox"], False, 1, "x", "y", 1), ("c", "t", ["Fox"], True, None, None, None, 3), ("d", "k", ["fox"], False, 1, None, None, 4), ("e", "k", ["fox"], False, 1, None, None, 4)]
+    gaz = spark.createDataFrame(entries, GZ.SCHEMA)
+    charts = TK.charts(docs(spark, "The red fox. Fox the fox", "the big Fox red FOX", None, ""))
+    assert sorted(GZ.lookup(charts, gaz).collect(), key=str) == sorted(GZ.joined(charts, gaz, gaz.count()).collect(), key=str)
+
+
+def test_repeated_ids_and_clashing_columns_do_not_mix(spark):
+    table = spark.createDataFrame([(1, "of the cat", "x"), (1, "of the dog", "y"), (None, "of the sun", None)], "doc_id long, text string, toks string")
+    df = TK.computed(TK.charts(table), {"a": G.terminal(F.col("toks"), lambda t: t["low"] == "of"), "b": G.terminal(F.col("toks"), lambda t: t["low"] == "the")})
+    df = df.select("doc_id", F.inline(G.seq(F.col("a"), F.col("b"))))
+    assert sorted(df.collect(), key=str) == sorted([(1, 0, 2), (1, 0, 2), (None, 0, 2)], key=str)
 
 
 def test_html(spark):
