@@ -285,22 +285,21 @@ class Join:
         hot = np.sort(np.array([r[0] for r in top], np.int64).view(U))
         published = self.text.mapInArrow(_publish(self.n, self.percent, hot), kind)
         busy = frequent.where(F.col("c") > HOT_ROWS).selectExpr("sig", f"cast(ceil(c / {HOT_ROWS}) AS long) AS salts")
-        some = not busy.isEmpty()
-        if not some:
-            published = published.withColumn("salts", F.lit(1).cast("long"))
-        else:  # 1 in HOT_ROWS rows at most
-            published = published.join(F.broadcast(busy) if busy.count() <= HOT_ROWS else busy, "sig", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
+        whole = lambda keys: [f"count(*) OVER (PARTITION BY {keys}) AS size", f"min(node) OVER (PARTITION BY {keys}) AS low", f"max(node) OVER (PARTITION BY {keys}) AS high"]
+        if busy.isEmpty():
+            found = published.repartition("sig").dropDuplicates(["sig", "node"]).selectExpr("*", *whole("sig"))
+            found = scratch.table(found.where("low < high").drop("high"), "buckets")
+            scratch.drop(frequent)
+            return found
+        # busy subsets are 1 in HOT_ROWS rows at most
+        published = published.join(F.broadcast(busy) if busy.count() <= HOT_ROWS else busy, "sig", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
         published = published.withColumn("salt", F.pmod("node", "salts")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "node"])
-        part = "OVER (PARTITION BY sig, salt)"
-        found = published.selectExpr("sig", "node", "n", "salts > 1 AS dealt", f"count(*) {part} AS size", f"min(node) {part} AS low", f"max(node) {part} AS high")
+        found = published.selectExpr("sig", "node", "n", "salts > 1 AS dealt", *whole("sig, salt"))
         found = scratch.table(found.where("dealt OR low < high"), "buckets")
         scratch.drop(frequent)
-        whole = found.where("NOT dealt").drop("dealt", "high")
-        if not some:
-            return whole
         dealt = found.where("dealt").select("sig", "node", "n")
         sizes = dealt.groupBy("sig").agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1")
-        return whole.union(dealt.join(sizes, "sig").select("sig", "node", "n", "size", "low"))
+        return found.where("NOT dealt").drop("dealt", "high").union(dealt.join(sizes, "sig").select("sig", "node", "n", "size", "low"))
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b), a < b, that no cheap bound excludes."""
