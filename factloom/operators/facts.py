@@ -73,3 +73,29 @@ def leads(facts: DataFrame, charts: DataFrame) -> DataFrame:
     lead = F.substring("sentence", 1, LEAD_CHARS)
     keys = facts.select("doc_id", "sent_id").distinct()
     return charts.select("doc_id", "sent_id", lead.alias("lead")).join(keys, ["doc_id", "sent_id"], "left_semi").withColumns({"n_chars": F.length("lead").cast("long"), "n_bytes": F.octet_length("lead").cast("long")})
+
+
+def groups(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """doc_id, sent_id, f and group_id of every fact: facts of a document that share the value of any of ``keys`` are one
+    group, through others too; its id is the smallest place (sent_id * 2**32 + f) in it. Groups by id: a document's facts meet in one task."""
+    import pandas as pd
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        place = (part["sent_id"] * (1 << 32) + part["f"]).to_list()
+        parent = {p: p for p in place}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        first: dict[tuple, int] = {}
+        for key in keys:
+            for p, v in zip(place, part[key].to_list(), strict=True):
+                if v is not None and v == v:
+                    a, b = sorted((top(first.setdefault((key, v), p)), top(p)))
+                    parent[b] = a
+        return pd.DataFrame({"doc_id": part["doc_id"], "sent_id": part["sent_id"], "f": part["f"], "group_id": [top(p) for p in place]})
+
+    return facts.select("doc_id", "sent_id", "f", *keys).groupBy("doc_id").applyInPandas(run, "doc_id long, sent_id long, f long, group_id long")

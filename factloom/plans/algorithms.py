@@ -161,16 +161,16 @@ def relative(phrase: str, today: Day) -> tuple[str, str] | None:
 @register("date_chain")
 def _chain(units: list) -> Iterator[Found]:
     """Dates and phrases of relative ones, which stay phrases (``relative`` gives their days for a document's date)."""
-    words, taken = [u.text.lower() for u in units], set()
-    for found in _dates(units):
+    words, taken, out = [u.text.lower() for u in units], set(), list(_dates(units))
+    for found in out:
         taken |= set(range(found[0], found[1]))
-        yield found
     for n in (2, 1):
         for k in range(len(words) - n + 1):
             phrase = " ".join(words[k : k + n])
             if phrase in RELATIVE and not taken & set(range(k, k + n)):
                 taken |= set(range(k, k + n))
-                yield k, k + n, phrase, mask("S"), {"Phrase": phrase}
+                out.append((k, k + n, phrase, mask("S"), {"Phrase": phrase}))
+    yield from sorted(out, key=lambda x: x[:2])
 
 
 def word_number(words: list[str]) -> float | None:
@@ -212,11 +212,14 @@ def _numbers(units: list) -> Iterator[Found]:
                 value, end = value + 0.5, end + 2
             out.append([k, end, value])
         k = max(end, k + 1)
+    scale = None
     for n in range(len(out) - 2, -1, -1):  # 5, 6 or 7 million; from 5 to 7 million
         (_, end, value), (start, stop, _) = out[n], out[n + 1]
         between, last = words[end:start], words[stop - 1]
-        scale = NATIVE_SCALES.get(last, SCALES.get(last))
-        if scale and value < scale and words[end - 1] not in NATIVE_SCALES | SCALES and len(between) == 1 and between[0] in COMMA_AND | TO:
+        scale = NATIVE_SCALES.get(last, SCALES.get(last)) or scale
+        if not (len(between) == 1 and between[0] in COMMA_AND | TO):
+            scale = None
+        elif scale and value < scale and words[end - 1] not in NATIVE_SCALES | SCALES:
             out[n][2] = value * scale
     for f, t, value in out:
         text = str(int(value)) if value == int(value) else str(value)
@@ -285,7 +288,7 @@ def _fits(part: str, u, size: int) -> bool:
         return len(u.text) == 1 and u.text.isupper()
     role = _role(u)
     if part == "F":
-        predicted = size > 1 and u.text[:1].isupper() and len(u.text) > 2 and u.text.isalpha() and not any(h.pos and not h.predicted for h in u.homonyms)
+        predicted = size > 1 and not u.first and u.text[:1].isupper() and len(u.text) > 2 and u.text.isalpha() and not any(h.pos and not h.predicted for h in u.homonyms)
         return "famn" in role or predicted
     return {"I": "persn", "O": "patrn"}[part] in role
 

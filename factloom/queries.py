@@ -405,6 +405,24 @@ def doc_equal_facts(spark, sf_dir):
     return FA.equal_pairs(_relation(spark, sf_dir), "what")
 
 
+@query(
+    f"""WITH RECURSIVE {TOKS}, {_RELATION}, node AS (SELECT doc_id, sent_id, f, what, place, sent_id * 4294967296 + f AS id FROM relation),
+    edge AS (SELECT DISTINCT a.doc_id, a.id AS x, b.id AS y FROM node a JOIN node b ON a.doc_id = b.doc_id AND (a.what = b.what OR a.place = b.place)),
+    reach AS (SELECT doc_id, x, y FROM edge UNION SELECT r.doc_id, r.x, e.y FROM reach r JOIN edge e ON r.doc_id = e.doc_id AND r.y = e.x)
+    SELECT n.doc_id, n.sent_id, n.f, CAST(min(r.y) AS BIGINT) AS group_id FROM node n JOIN reach r ON n.doc_id = r.doc_id AND n.id = r.x GROUP BY n.doc_id, n.sent_id, n.f"""
+)
+def doc_groups(spark, sf_dir):
+    """Facts of a document that share a value, through others too."""
+    return FA.groups(_relation(spark, sf_dir), ["what", "place"])
+
+
+@query(f"WITH {TOKS}, {_RELATION} SELECT chr(123) || '\"doc_id\":' || doc_id || ',\"sent_id\":' || sent_id || ',\"type\":\"Relation\",\"fields\":' || chr(123) || '\"what\":\"' || what || '\",\"place\":\"' || place || '\"' || chr(125) || chr(125) AS value FROM relation")
+def sink_json(spark, sf_dir):
+    from factloom.sources.sinks import json_lines
+
+    return json_lines(_relation(spark, sf_dir), ["what", "place"])
+
+
 @query(f"WITH {TOKS}, {_RELATION} SELECT doc_id, sent_id, substr(sentence, 1, 400) AS lead, CAST(length(substr(sentence, 1, 400)) AS BIGINT) AS n_chars, CAST(strlen(substr(sentence, 1, 400)) AS BIGINT) AS n_bytes FROM sents s WHERE EXISTS (SELECT 1 FROM relation r WHERE r.doc_id = s.doc_id AND r.sent_id = s.sent_id)")
 def sink_leads(spark, sf_dir):
     return _relations(spark, sf_dir).where(F.size("r") > 0).select("doc_id", "sent_id", *FA.lead_of())
