@@ -64,3 +64,79 @@ def few_words(name: str, monkeypatch, most: float) -> None:
 
 def test_few_words_cascade(monkeypatch):
     few_words("lang_cascade", monkeypatch, 0.01)
+
+
+def test_few_words_kwset_not(monkeypatch):
+    few_words("lang_kwset_not", monkeypatch, 0.01)
+
+
+def test_few_words_kwtype_none(monkeypatch):
+    few_words("lang_kwtype_none", monkeypatch, 0.01)
+
+
+def plain_choice(parses: list[chart.Weighed]) -> list[int]:
+    """The choice as it is told: every solution against all that it overlaps."""
+    done: list[chart.Solution] = []
+    for n, x in enumerate(parses):
+        base, rival = chart.Solution(), None
+        for k in range(n - 1, -1, -1):
+            if parses[k].j <= x.i:
+                base = done[k]
+                break
+            if rival is None or done[k].rank > rival.rank:
+                rival = done[k]
+        mine = base.add(n, x, 0)
+        done.append(rival if rival is not None and rival.rank > mine.rank else mine)
+    out, at = [], done[-1] if done else None
+    while at and at.last >= 0:
+        out, at = [at.last, *out], at.before
+    return out
+
+
+def test_the_choice():
+    r = random.Random(1)
+    for _ in range(400):
+        parses = []
+        for _ in range(r.randint(0, 12)):
+            i = r.randint(0, 7)
+            parses.append(chart.Weighed(i, i + r.randint(1, 4), r.randint(1, 3), r.randint(0, 2), r.randint(0, 2), r.choice((chart.SCALE, chart.SCALE // 2))))
+        parses.sort(key=lambda x: (x.j, x.i))
+        base = chart.Solution()
+        assert chart.members(chart.best(parses, base), base) == plain_choice(parses)
+
+
+LONG = {
+    "lists": 'A -> Prep | A Comma Prep | A "and" Prep; S -> A interp(R.A="a") | Comma interp(R.B="c") | "and" Prep interp(R.C) | Prep Comma interp(R.B="d");',
+    "limits": 'A -> Prep | Prep A {count=4}; S -> A interp(R.A) A interp(R.B::not_norm) {count=7} | Noun interp(R.C);',
+    "facts": 'A -> Prep interp(R.A) | A Prep interp(R.A) | Prep interp(R.A) Prep interp(R.A); B -> Noun interp(R.B) Noun interp(R.B) | Noun interp(R.B) Noun interp(R.B) Noun interp(R.B); S -> A B | A;',
+}
+
+
+@pytest.mark.parametrize("name", ["lang_recursion_right", "lang_recursion_left", "lang_plus_star", "lang_count", *LONG])
+def test_long_stretches(name):
+    compiled = Q.project(LONG[name]).compile() if name in LONG else grammar(name)
+    reader = stretches.Reader(compiled)
+    r = random.Random(11)
+    for _ in range(60):
+        s = " ".join(r.choices("of in de on , and it tion is zork".split(), (9, 9, 5, 5, 3, 3, 4, 4, 1, 1), k=r.randint(5, 30)))
+        assert reader.facts(s) == compiled.sentence(s).facts(), s
+    assert reader.plans[0].equal
+
+
+def long_run(name: str, most: float) -> None:
+    reader = stretches.Reader(grammar(name))
+    began = time.process_time()
+    (row,) = reader.facts("of in " * 150)
+    assert (row[2], row[3]) == (0, 300) and time.process_time() - began < most  # one run of all words
+
+
+def test_a_long_run_recursion_right():
+    long_run("lang_recursion_right", 5)
+
+
+def test_a_long_run_plus_star():
+    long_run("lang_plus_star", 15)
+
+
+def test_a_long_run_recursion_left():
+    long_run("lang_recursion_left", 5)
