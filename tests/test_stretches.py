@@ -8,6 +8,7 @@ import pytest
 
 from factloom import language_queries as Q
 from factloom.plans import chart, stretches
+from factloom.plans import project as P
 from factloom.plans.project import Project
 from factloom.queries import QUERIES
 
@@ -140,3 +141,10 @@ def test_a_long_run_plus_star():
 
 def test_a_long_run_recursion_left():
     long_run("lang_recursion_left", 5)
+
+
+def test_words_of_ascii_texts():
+    r = random.Random(2)
+    every = "".join(map(chr, range(128)))
+    for s in [every, *("".join(r.choices(every + "ab-1_ ", k=40)) for _ in range(300))]:
+        assert P.ASCII_WORD.findall(s) == P.WORD.findall(s) and P.ASCII_PARTS.findall(s) == P.PARTS.findall(s)
