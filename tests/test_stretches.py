@@ -143,6 +143,25 @@ def test_a_long_run_recursion_left():
     long_run("lang_recursion_left", 5)
 
 
+def test_a_long_run_is_not_stepped_through_for_each_of_its_words(monkeypatch):
+    calls = []
+    through = stretches.Spans._through
+    monkeypatch.setattr(stretches.Spans, "_through", lambda self, items, here: calls.append(1) or through(self, items, here))
+    reader = stretches.Reader(grammar("lang_recursion_left"))
+    (row,) = reader.facts("of in " * 150)
+    assert (row[2], row[3]) == (0, 300) and len(calls) < 10 * 300  # one for each run before
+
+
+def test_left_recursion_of_several_terminals():
+    compiled = Q.project('A -> Prep | A Comma Prep {count=9} | A "and" | A Prep {count=12} | Comma; S -> A interp(R.A="a") | Comma "and" interp(R.B="c") | A Noun interp(R.C="d");').compile()
+    reader = stretches.Reader(compiled)
+    r = random.Random(12)
+    for _ in range(60):
+        s = " ".join(r.choices("of in , and tion zork".split(), (9, 5, 5, 3, 2, 1), k=r.randint(5, 30)))
+        assert reader.facts(s) == compiled.sentence(s).facts(), s
+    assert reader.plans[0].equal
+
+
 def test_words_of_ascii_texts():
     r = random.Random(2)
     every = "".join(map(chr, range(128)))
