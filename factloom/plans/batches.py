@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 from factloom.operators.morphology import plain
-from factloom.plans.stretches import LONG, QUOTES, Made, Stretch, WholeSentence
+from factloom.plans.stretches import KEPT, LONG, QUOTES, WholeSentence
 
 BLOCK = 1 << 20  # bytes of sentences that are looked at together
 SPACE, LETTER, DIGIT, SIGN, UNKNOWN = 0, 1, 2, 3, 255
@@ -125,8 +125,7 @@ class Sieve:
         self.likely = np.zeros(1 << 16, bool)
         self.likely[self.named >> np.uint64(48)] = True
         self.most = np.full(32, -1, np.int64)  # terminals by shape
-        self.spans = Made(lambda masks: plan.spans(list(masks)), 100_000)
-        self.wanted = reader.wanted
+        self.known: dict[tuple, Run] = {}
         self.quotes = np.array(sorted(map(ord, QUOTES)), np.uint32)
 
     def _masks(self, block: Block) -> np.ndarray:
@@ -208,91 +207,110 @@ class Sieve:
     def block(self, text: str, begins: np.ndarray) -> tuple:
         """Of each fact its sentence, the number there, first and next character, first and next word, and the rest of its row by number;
         and these rests."""
-        plan, kept = self.plan, self.plan.stretch
-        block, rows = Block(text, begins, self.hyphens), Rows()
+        block, rows = Block(text, begins, self.hyphens), Rows(self.reader.wanted)
         at, cuts = self._runs(block) if len(block.starts) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        quote = (np.isin(block.codes[block.starts], self.quotes) & (block.kind == SIGN)).tobytes()
-        words = block.words(at)
-        masks = list(map(plan.masks.__getitem__, words))
-        runs = at[cuts[:-1]]
+        runs, sizes = at[cuts[:-1]], np.diff(cuts)
         where = np.searchsorted(block.firsts, runs, "right") - 1
-        found: list[tuple[int, Stretch]] = []
-        before, whole = -1, False
-        for s, a, begin, end, p, q in zip(*(x.tolist() for x in (where, runs, block.firsts[where], block.firsts[where + 1], cuts[:-1], cuts[1:])), strict=True):
-            if s != before:
-                if found or whole:
-                    self._facts(block, before, found, whole, rows)
-                    found, whole = [], False
-                before = s
-            try:
-                for c, d in self.spans[tuple(masks[p:q])] if q - p <= LONG else plan.spans(masks[p:q]):
-                    i, j = a + c, a + d
-                    found.append((i - begin, kept(words[p + c : p + d], (i == begin, j == end, i > begin and quote[i - 1] > 0, j < end and quote[j] > 0))))
-            except WholeSentence:
-                whole = True
-        if found or whole:
-            self._facts(block, before, found, whole, rows)
-        sentence, number, f, t, rest = rows.arrays()
+        first, last = runs == block.firsts[where], runs + sizes == block.firsts[where + 1]
+        quote = np.isin(block.codes[block.starts], self.quotes) & (block.kind == SIGN)
+        places = np.stack([first, last, ~first & quote[runs - 1], ~last & quote[np.minimum(runs + sizes, len(quote) - 1)]]) if len(runs) else np.zeros((4, 0), bool)
+        kinds = self._kinds(block.words(at), cuts, np.packbits(places, axis=0, bitorder="little")[0] if len(runs) else places[0])
+        which = np.array([rows.of(x) for x in kinds], np.int64)
+        # all parses are chosen where none overlap; the other sentences are put together one by one
+        most = self.plan.c.project.most
+        slow = np.bincount(where, np.array(rows.before, np.int64)[which], len(begins)) > most
+        slow |= np.bincount(where, np.array(rows.several, bool)[which], len(begins)) > 0
+        alone = ~slow[where]
+        sentence, place, which = [where[alone]], [(runs - block.firsts[where])[alone]], [which[alone]]
+        found: dict[int, list] = {}
+        for s, a, n in zip(*(x[~alone].tolist() for x in (where, runs - block.firsts[where], np.arange(len(runs)))), strict=True):
+            found.setdefault(s, []).append((a, kinds[n]))
+        for s, mine in found.items():
+            sentence.append(s)
+            place.append(0)
+            which.append(rows.made(self._facts(block, s, mine)))
+        sentence, place, which = (np.concatenate([x[0], np.array(x[1:], np.int64)]) for x in (sentence, place, which))
+        order = np.argsort(sentence, kind="stable")
+        sentence, number, f, t, rest = rows.arrays(sentence[order], place[order], which[order])
         origin, first = block.begins[sentence], block.firsts[sentence]
         return sentence, number, block.starts[first + f] - origin, block.ends[first + t - 1] - origin, f, t, rest, list(rows.rests)
 
-    def _facts(self, block: Block, sentence: int, found: list[tuple[int, Stretch]], whole: bool, rows: Rows) -> None:
-        if not whole and not any([s.overlaps for _, s in found]):  # all parses are chosen
-            done = [(at, rows.of(s, self.wanted)) for at, s in found if s.weighed]
-            if sum([rows.before[x] for _, x in done]) <= self.plan.c.project.most:
-                for at, x in done:
-                    rows.add(sentence, at, x)
-                return
+    def _kinds(self, words: list[str], cuts: np.ndarray, places: np.ndarray) -> list[Run]:
+        """What is found in runs of words, each kind of run told once."""
+        names = list(map(self.plan.names.__getitem__, words)) if self.plan.alike else words
+        known, out = self.known, []
+        for p, q, place in zip(cuts[:-1].tolist(), cuts[1:].tolist(), places.tolist(), strict=True):
+            key = (place, names[p]) if q - p == 1 else (place, *names[p:q])
+            found = known.get(key)
+            if found is None:
+                found = Run(self.plan, words[p:q], place)
+                if q - p <= LONG:
+                    if len(known) >= KEPT:
+                        known.clear()
+                    known[key] = found
+            out.append(found)
+        return out
+
+    def _facts(self, block: Block, sentence: int, found: list[tuple[int, Run]]) -> list[tuple]:
         try:
-            made = None if whole else self.plan.joined(found)
+            if all(x.found is not None for _, x in found):
+                return self.plan.joined([(at + a, s) for at, x in found for a, s in x.found])
         except WholeSentence:
-            made = None
-        if made is None:
-            made = self.reader.c.sentence(block.text[block.begins[sentence] : block.begins[sentence + 1]]).facts()
-        rows.add(sentence, 0, rows.made(made, self.wanted))
+            pass
+        return self.reader.c.sentence(block.text[block.begins[sentence] : block.begins[sentence + 1]]).facts()
+
+
+class Run:
+    """The stretches of a run of words, with their places in it; None if they cannot be told from the rest of the sentence."""
+
+    def __init__(self, plan, words: list[str], place: int):
+        first, last, before, after = (bool(place >> k & 1) for k in range(4))
+        size = len(words)
+        try:
+            self.found = [
+                (a, plan.stretch(words[a:b], (first and a == 0, last and b == size, words[a - 1] in QUOTES if a else before, words[b] in QUOTES if b < size else after)))
+                for a, b in plan.spans([plan.masks[w] for w in words])
+            ]
+        except WholeSentence:
+            self.found = None
+        self.several = self.found is None or any(s.overlaps for _, s in self.found)
+        self.rows = [] if self.several else [(a, k, f + at, t + at, fields, w) for at, s in self.found if s.weighed for n in range(len(s.weighed)) for a, k, f, t, fields, w in s.rows(n)]
 
 
 class Rows:
     """Rows of facts, as lists of them that may stand in many places."""
 
-    def __init__(self):
-        self.known: dict[int, int] = {}  # lists by stretch
-        self.kept: list[Stretch] = []  # so that no other takes its place in memory
+    def __init__(self, wanted: set[str]):
+        self.wanted = wanted
+        self.known: dict[Run, int] = {}  # lists by run
         self.rests: dict[tuple, int] = {}
         self.sizes: list[int] = []
         self.before: list[int] = []  # rows before those that are not wanted were left out
+        self.several: list[bool] = []
         self.rows: tuple[list, ...] = ([], [], [])  # first and next word, rest
-        self.places: tuple[list, ...] = ([], [], [])  # sentence, word, list
 
-    def of(self, stretch: Stretch, wanted: set[str]) -> int:
-        n = self.known.get(id(stretch))
+    def of(self, run: Run) -> int:
+        n = self.known.get(run)
         if n is None:
-            n = self.known[id(stretch)] = self.made([r for k in range(len(stretch.weighed)) for r in stretch.rows(k)], wanted)
-            self.kept.append(stretch)
+            n = self.known[run] = self.made(run.rows, run.several)
         return n
 
-    def made(self, rows: list[tuple], wanted: set[str]) -> int:
-        own = [r for r in dict.fromkeys(rows) if not wanted or r[1] in wanted]
+    def made(self, rows: list[tuple], several: bool = False) -> int:
+        own = [r for r in dict.fromkeys(rows) if not self.wanted or r[1] in self.wanted]
         for article, kind, f, t, fields, weight in own:
             self.rows[0].append(f)
             self.rows[1].append(t)
             self.rows[2].append(self.rests.setdefault((article, kind, fields, weight), len(self.rests)))
         self.sizes.append(len(own))
         self.before.append(len(rows))
+        self.several.append(several)
         return len(self.sizes) - 1
 
-    def add(self, sentence: int, at: int, n: int) -> None:
-        self.places[0].append(sentence)
-        self.places[1].append(at)
-        self.places[2].append(n)
-
-    def arrays(self) -> tuple[np.ndarray, ...]:
-        """Of each fact its sentence, the number there, first and next word, and the number of the rest."""
-        sentence, at, n = (np.array(x, np.int64) for x in self.places)
+    def arrays(self, sentence: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of lists by sentence, word and number: of each fact its sentence, the number there, first and next word, and the number of the rest."""
         sizes = np.array(self.sizes, np.int64)
         times = sizes[n]
-        total = np.cumsum(times)
-        within = np.arange(total[-1] if len(total) else 0) - np.repeat(total - times, times)
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         row = np.repeat((np.cumsum(sizes) - sizes)[n], times) + within
         f, t, rest = (np.array(x, np.int64)[row] for x in self.rows)
         at, sentence = np.repeat(at, times), np.repeat(sentence, times)
